@@ -117,7 +117,7 @@ def numbers(pages: list[list[Leaf]]) -> list[tuple[list[tuple[int, ...]], np.nda
         slots = (word_hashes(LOWER[data], starts, ends) >> np.uint64(40)).astype(np.int64) % WORD_SLOTS
         n = np.diff(rows)
         counts = np.bincount(np.repeat(np.arange(to - at), n) * WORD_SLOTS + slots, minlength=(to - at) * WORD_SLOTS).reshape(-1, WORD_SLOTS)
-        x[at:to, :WORD_SLOTS] = counts / np.sqrt(np.maximum(n, 1))[:, None]
+        x[at:to, :WORD_SLOTS] = 2 * counts / np.maximum(np.linalg.norm(counts, axis=1), 1)[:, None]
     at, out = 0, []
     for page in pages:
         size = len(page)
@@ -270,9 +270,12 @@ def made_pages(n: int, seed: int = 3) -> tuple[list[list[Leaf]], list[np.ndarray
     pick = lambda items: items[rng.integers(len(items))]
     some = lambda a, b: "".join(pick(_SYLLABLES) for _ in range(rng.integers(a, b)))
 
+    pool = [some(1, 4) for _ in range(20_000)]
+
     def text(kind: str) -> tuple[str, int]:
-        words = [some(1, 4) for _ in range(rng.integers(1, 4) if kind in ("link", "short") else rng.integers(1, 50))]
-        out = " ".join(words) + ("." if kind == "text" else "")
+        most = 4 if kind in ("link", "short") else int(np.exp(rng.uniform(0.7, 6)))
+        words = [pool[i] for i in rng.integers(0, len(pool), rng.integers(1, max(2, most)))]
+        out = pick((" ", " ", " ", " ", "!! ", "*** ")).join(words) + ("." if kind == "text" else "")
         return out, len(out) if kind == "link" else int(rng.random() < 0.1) * (len(out) // 3)
 
     pages, labels = [], []
@@ -292,9 +295,9 @@ def made_pages(n: int, seed: int = 3) -> tuple[list[list[Leaf]], list[np.ndarray
         if rng.random() < 0.85:
             page.append((Leaf(("html", "body", *main, pick(("h1", "h1", "h2"))), *text("text")), 1))
         one = rng.random() < 0.3
-        for _ in range(rng.integers(1, 25)):
+        for _ in range(rng.integers(1, 25) if rng.random() < 0.85 else rng.integers(25, 120)):
             page.append((Leaf(("html", "body", *main, *(("p",) if one else pick(_INNER))), *text("text" if rng.random() < 0.9 else "short")), 1))
-            if rng.random() < 0.06:
+            if rng.random() < 0.12:
                 noise("any", 1, main if rng.random() < 0.7 else outer)
         noise("after", 2, main if rng.random() < 0.3 else outer)
         noise("any", 2, outer)
