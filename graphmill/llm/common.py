@@ -33,14 +33,18 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id inside joins, which would lose nulls.
+NULL_ID = -(1 << 63)
+
+
 def row_key(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Only key, text and a content hash that tells rows of one key apart; other columns cannot clash with ours."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("row_hash"))
+    """doc_id (NULL_ID for null), text, and row_hash, which tells rows of one doc_id apart; other columns cannot clash with ours."""
+    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("row_hash"))
 
 
-def same_row(a: str, b: str) -> F.Column:
-    """Join condition on the columns of row_key; a null doc_id equals itself."""
-    return F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.row_hash = {b}.row_hash")
+def real_id(column: str = "doc_id") -> F.Column:
+    """The id as it was before row_key."""
+    return F.nullif(F.col(column), F.lit(NULL_ID)).alias(column)
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict[str, object]]], schema: str) -> DataFrame:

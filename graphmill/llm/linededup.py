@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import row_key
+from graphmill.llm.common import NULL_ID, row_key
 
 #: Lines in the shortest run that counts as repeated; every such run holds a fingerprint.
 MIN_RUN = 3
@@ -58,9 +58,9 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     Shuffles: line hashes (numbers) twice, texts once, to meet what is to be deleted from them.
     """
     gone = repeated_lines(line_hashes(docs), min_run)
-    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted", "row_hash", "deleted", "lines", "places", "gone")]
-    keyed = docs.select(*columns).withColumn("row_hash", F.xxhash64(F.col("text").cast("string")))
-    met = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.row_hash = g.row_hash"), "left").select("d.*", "g.deleted")
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted", "row_id", "row_hash", "deleted", "lines", "places", "gone")]
+    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"))
+    met = keyed.join(gone.withColumnRenamed("doc_id", "row_id"), ["row_id", "row_hash"], "left")
     blank = lambda x: F.btrim(x, F.lit(" \t\r\f\u000b")) == ""
     met = met.withColumn("lines", F.split("text", "\n"))
     places = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(blank(x).alias("blank"), i.alias("i"))), lambda s: ~s["blank"]), lambda s: s["i"])
