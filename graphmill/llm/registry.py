@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import decontaminate, html, langid, linededup, packing, phrases, secrets
+from graphmill.llm import decontaminate, html, langid, linededup, neardup, packing, phrases, secrets
 from graphmill.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedup_phrases(table(spark, sf_dir, "documents"), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
 
@@ -39,5 +43,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op9_secret_scan, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.ORACLE_SQL}
