@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import decontaminate, html, langid, linededup, neardup, packing, phrases, secrets
+from graphmill.llm import ann, decontaminate, html, langid, linededup, neardup, packing, phrases, secrets
 from graphmill.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours_of_rows(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -43,5 +47,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.ORACLE_SQL}
