@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import ann, decontaminate, html, langid, linededup, neardup, packing, phrases, secrets
+from graphmill.llm import ann, decontaminate, html, langid, linededup, neardup, packing, phrases, secrets, tokenshards
 from graphmill.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenshards.materialise(table(spark, sf_dir, "documents")).sequences
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
 
@@ -47,5 +51,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op4_training_order_shards, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.ORACLE_SQL}
