@@ -82,5 +82,5 @@ def matches_symbol(symbol: str, name: str = "name", qualified: str = "qualified_
     segments = F.filter(F.split(F.col(path), "/"), lambda s: s != "")
     inside = F.lit(bool(hints))
     for h in hints:
-        inside &= F.exists(segments, lambda s, h=h: (s == h) | (F.regexp_replace(s, r"\.[^.]+$", "") == h))
+        inside &= F.array_contains(segments, h) | F.array_contains(F.transform(segments, lambda s: F.regexp_replace(s, r"\.[^.]+$", "")), h)
     return simple | ((F.col(name) == parts[-1]) & (F.instr(F.col(qualified), "::".join(parts)).cast("int") > 0) | (F.col(name) == parts[-1]) & inside)

@@ -33,7 +33,8 @@ def bm25(docs: DataFrame, id: str, text: str, terms: list[str], prefix: bool = F
     Terms are tested inside each text's words, so only matches leave the scan. prefix: a term finds words that begin with it.
     """
     words = docs.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    hit = [F.size(F.filter("words", (lambda w, t=t: w.startswith(t)) if prefix else (lambda w, t=t: w == t))).alias(f"t{i}") for i, t in enumerate(terms)]
+    fits = lambda t: (lambda w: F.startswith(w, F.lit(t))) if prefix else (lambda w: w == F.lit(t))
+    hit = [F.size(F.filter("words", fits(t))).alias(f"t{i}") for i, t in enumerate(terms)]
     counted = words.select("id", F.size("words").alias("len"), *hit)
     stats = counted.agg(F.count("*").alias("N"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)

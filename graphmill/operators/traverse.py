@@ -80,7 +80,7 @@ def callers(graph: Graph, node: str, depth: int = 1) -> DataFrame:
 
 def callees(graph: Graph, node: str, depth: int = 1) -> DataFrame:
     """The same in the other direction."""
-    return callers(Graph(graph.nodes, graph.edges.withColumnsRenamed({"source": "target", "target": "source"})), node, depth)
+    return callers(Graph(graph.nodes, graph.edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "kind", "line")), node, depth)
 
 
 def call_graph(graph: Graph, node: str, depth: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -508,13 +509,13 @@ def supertype_member(s, d):
 
 
 _WALK = ", ".join(
-    f"m{k} as (select n.id, 0.75 * coalesce((select sum(p.mass * b.n / d.degree) from both_ways b join m{k - 1} p on p.id = b.at join deg d on d.at = b.at where b.to_id = n.id), 0) + 0.25 * (case when n.id = 'click' then 1.0 else 0.0 end) as mass from ids n)"
+    f"m{k} as (select n.id, 0.75 * coalesce((select sum(p.mass * b.n / d.degree) from both_ways b join m{k - 1} p on p.id = b.from_id join deg d on d.from_id = b.from_id where b.to_id = n.id), 0) + 0.25 * (case when n.id = 'click' then 1.0 else 0.0 end) as mass from ids n)"
     for k in (1, 2, 3)
 )
 
 
 @query(f"""with e as (select event_type as source, lead(event_type) over (partition by user_id order by ts, event_id) as target from events), pairs as (select source, target, count(*) as n from e where target is not null and source <> target group by 1, 2),
-both_ways as (select at, to_id, sum(n)::double as n from (select source as at, target as to_id, n from pairs union all select target, source, n from pairs) group by 1, 2), deg as (select at, sum(n) as degree from both_ways group by 1), ids as (select distinct event_type as id from events),
+both_ways as (select from_id, to_id, cast(sum(n) as double) as n from (select source as from_id, target as to_id, n from pairs union all select target, source, n from pairs) group by 1, 2), deg as (select from_id, sum(n) as degree from both_ways group by 1), ids as (select distinct event_type as id from events),
 m0 as (select id, case when id = 'click' then 1.0 else 0.0 end as mass from ids), {_WALK} select id, round(mass, 6) as mass from m3""")
 def random_walk_3(s, d):
     return _event_walk(s, d, 3).select("id", F.round("mass", 6).alias("mass"))
@@ -582,14 +583,14 @@ def path_relevance(s, d):
     return star.document_paths(s, d).select("file_path", X.path_score(c("file_path"), "lib doc1").cast("int").alias("score"))
 
 
-@query("""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), x -> x <> '') as words from documents), n as (select doc_id as id, len(words) as len, len(list_filter(words, x -> x = 'the')) as a, len(list_filter(words, x -> x = 'license')) as b from w),
+@query("""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as words from documents), n as (select doc_id as id, len(words) as len, len(list_filter(words, lambda x: x = 'the')) as a, len(list_filter(words, lambda x: x = 'license')) as b from w),
 st as (select count(*) as N, avg(len) as mean, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from n)
 select id, round((case when a > 0 then ln(1 + (N - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / mean)) else 0 end) + (case when b > 0 then ln(1 + (N - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / mean)) else 0 end), 6) as score from n, st where a > 0 or b > 0""")
 def bm25_documents(s, d):
     return search.bm25(t(s, d, "documents"), "doc_id", "text", ["the", "license"]).select("id", F.round("score", 6).alias("score"))
 
 
-@query("""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), x -> x <> '')) as term from documents) select term, count(distinct doc_id) as df, count(*) as tf from w group by 1""")
+@query("""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) as term from documents) select term, count(distinct doc_id) as df, count(*) as tf from w group by 1""")
 def term_statistics(s, d):
     return search.postings(t(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -776,14 +777,14 @@ def staleness_banner(s, d):
     return sync.banner(e.where("event_type = 'purchase'").select("event_id", c("user_id").alias("file_path")), sync.pending(e.select(c("user_id").alias("path"), "ts"), "2024-01-30 12:00:00"))
 
 
-@query(None)
+@query("""with f as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 12 hour then 0 else 1 end as fresh from events), r as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as run from f)
+select user_id as path, min(ts) as start, max(ts) as last, count(*) as n from r group by user_id, run having max(ts) + interval 13 hour <= (select max(ts) from events)""")
 def debounce_stream(s, d):
-    path = f"{d}/events.parquet"
-    schema = s.read.parquet(path).schema
-    import uuid
-
-    feed = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith("events.parquet") else d + "/events*")
-    return sync.run_feed(s, feed.select(c("user_id").alias("path"), "ts"), "12 hours", "1 hour", f"bursts_{uuid.uuid4().hex}")
+    """Bursts that the watermark has passed; those still open at the end of the feed stay in its state."""
+    feed = s.readStream.schema(t(s, d, "events").schema).parquet(f"{d}/events*")
+    changes = feed.select(c("user_id").alias("path"), c("ts").cast("timestamp").alias("ts"))
+    done = sync.run_feed(s, changes, "12 hours", "1 hour", f"bursts_{uuid.uuid4().hex}")
+    return done.select("path", c("start").cast("timestamp_ntz").alias("start"), c("last").cast("timestamp_ntz").alias("last"), "n")
 
 
 @query(None)

@@ -15,14 +15,15 @@ CALLER_KINDS = ("calls", "references", "imports", "instantiates")
 CONTAINER_KINDS = ("class", "interface", "struct", "trait", "protocol", "module", "enum")
 RANK_KINDS = ("calls", "references", "extends", "implements", "overrides", "instantiates", "returns", "type_of", "imports")
 
-NODE = T.StructType.fromDDL(
+# Column names and types (as DDL: building a StructType needs a session, which workers lack).
+NODE = (
     "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, start_column int, end_column int, "
     "docstring string, signature string, visibility string, is_exported boolean, is_async boolean, is_static boolean, is_abstract boolean, "
     "decorators array<string>, type_parameters array<string>, return_type string, updated_at long"
 )
-EDGE = T.StructType.fromDDL("source string, target string, kind string, metadata map<string,string>, line int, col int, provenance string")
-FILE = T.StructType.fromDDL("path string, content_hash string, language string, size long, modified_at long, indexed_at long, node_count int, errors array<string>")
-REFERENCE = T.StructType.fromDDL("from_node_id string, reference_name string, reference_kind string, line int, col int, candidates array<string>, file_path string, language string")
+EDGE = "source string, target string, kind string, metadata map<string,string>, line int, col int, provenance string"
+FILE = "path string, content_hash string, language string, size long, modified_at long, indexed_at long, node_count int, errors array<string>"
+REFERENCE = "from_node_id string, reference_name string, reference_kind string, line int, col int, candidates array<string>, file_path string, language string"
 _DEFAULTS = {"start_line": 0, "end_line": 0, "start_column": 0, "end_column": 0, "is_exported": False, "is_async": False, "is_static": False, "is_abstract": False, "updated_at": 0}
 
 
@@ -33,10 +34,10 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: str) -> DataFrame:
     """df with exactly the columns of schema: missing ones get their default, or null."""
     have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(_DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in schema))
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(_DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)))
 
 
 def node_id(path: str = "file_path", kind: str = "kind", name: str = "name", line: str = "start_line") -> F.Column:
