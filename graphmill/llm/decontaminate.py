@@ -94,7 +94,8 @@ def _matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     rest = second.where("size > 2").select("doc_id", "row_hash", "win_id", "item_id", "size", "start").join(windows.where("rank > 1").select("win_id", "term", "off"), "win_id")
     whole = rest.withColumn("place", F.col("start") + F.col("off")).join(posts, ["doc_id", "row_hash", "term", "place"], "left_semi")
     key = ["doc_id", "row_hash", "item_id", "win_id", "start", "size"]
-    whole = whole.groupBy(*key).agg(F.count("*").alias("n")).where("n = size - 2").select(*key)
+    # A set, since repeated rows give each place several times; it holds no more than a window's words.
+    whole = whole.groupBy(*key).agg(F.size(F.collect_set("off")).alias("n")).where("n = size - 2").select(*key)
     return found.where("size = 1").select(*key).unionByName(second.where("size = 2").select(*key)).unionByName(whole).drop("win_id").distinct()
 
 
