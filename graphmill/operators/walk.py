@@ -18,7 +18,7 @@ def walk_with_restart(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alph
     ids = settled(nodes.select("id").distinct())
     e = (edges.where(F.col("kind").isin(*kinds)) if kinds else edges).where("source != target").select("source", "target")
     e = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    both = settled(e.union(e.select("target", "source")).toDF("at", "to").groupBy("at", "to").agg(F.count("*").alias("n")))
+    both = settled(e.select("source", "target").union(e.select("target", "source")).toDF("at", "to").groupBy("at", "to").agg(F.count("*").alias("n")))
     degree = both.groupBy(F.col("at").alias("id")).agg(F.sum("n").alias("degree"))
     seeds = seeds.select("id").distinct().join(ids, "id", "left_semi")
     seeds = ids if seeds.isEmpty() else seeds

@@ -202,7 +202,7 @@ def file_predicates(s, d):
 
 @query(STAR + "select id, file_path from nodes where name = 'CHINA' and contains(qualified_name, 'ASIA::CHINA') or name = 'ASIA::CHINA'")
 def symbol_match(s, d):
-    return g(s, d).nodes.where(P.matches_symbol("ASIA.CHINA")).select("id", "file_path")
+    return g(s, d).nodes.where(P.matches_symbol("ASIA.NATION_8")).select("id", "file_path")
 
 
 # ---- joins -----------------------------------------------------------------------------------------
@@ -562,7 +562,7 @@ def fuzzy_names(s, d):
 
 @query(STAR + """, hits as (select id, lower(name) as name, file_path from nodes where lower(name) in (select lower(p_name) from part where p_partkey <= 5)), rare as (select name from hits group by 1 having count(distinct file_path) < 10),
 scored as (select id, name, 1.0 + case when file_path in (select file_path from hits where name in (select name from rare)) then 20 else 0 end as score from hits),
-top as (select * from scored qualify row_number() over (partition by name order by score desc, id) <= 10) select id, name, cast(score as double) as score from top order by score desc, id limit 50""")
+top as (select * from scored qualify row_number() over (partition by name order by score desc, id) <= greatest(8, (select ceil(50.0 / count(*)) from part where p_partkey <= 5))) select id, name, cast(score as double) as score from top order by score desc, id limit 50""")
 def colocation_search(s, d):
     names = [r[0] for r in t(s, d, "part").where("p_partkey <= 5").select("p_name").collect()]
     return search.exact_names(g(s, d).nodes, names)
