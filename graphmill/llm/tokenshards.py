@@ -17,6 +17,8 @@ from graphmill.llm.tokens import default_path, tokenizer
 
 #: Tokens of a sequence, sequences of a shard (8 MB at two bytes a token), and the file names of shards.
 SEQUENCE, SHARD_SEQUENCES, NAME = 2048, 2048, "shard-{:08d}.bin"
+#: Reading tasks (16 bytes each) whose first numbers are broadcast; beyond that they are joined by shuffle.
+BROADCAST_TASKS = 1_000_000
 
 
 class Feistel:
@@ -157,6 +159,9 @@ def materialise(docs: DataFrame, key: int = 20240501, length: int = SEQUENCE, pe
     counts = cut.groupBy("part").agg(F.count("*").alias("n"))
     # One row for each task that read documents.
     starts = counts.withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("part", "base")
+    starts = stage(starts, "starts")
+    located = cut.join(F.broadcast(starts) if starts.count() <= BROADCAST_TASKS else starts, "part")
+    number = (F.col("base") + F.col("nth")).alias("number")
     n = cut.count()
     order = Feistel(max(1, n), key)
 
@@ -164,11 +169,11 @@ def materialise(docs: DataFrame, key: int = 20240501, length: int = SEQUENCE, pe
         yield {name: b.column(i) for i, name in enumerate(b.schema.names)} | {"slot": pa.array(order.place(b.column(b.num_columns - 1).to_numpy()))}
 
     names = [c for c in cut.columns if c != "payload"]
-    numbered = map_batches(cut.select(*names).join(starts, "part").select(*names, (F.col("base") + F.col("nth")).alias("number")), place, "part int, nth long, first_doc_id long, n_docs long, n_tokens long, ids_crc32 long, number long, slot long")
+    numbered = map_batches(located.select(*names, number), place, "part int, nth long, first_doc_id long, n_docs long, n_tokens long, ids_crc32 long, number long, slot long")
     numbered = stage(numbered, "slots")
     stride = length * np.dtype(dtype).itemsize
     shards = max(1, -(-n // per_shard))
-    placed = cut.select("part", "nth", "payload").join(numbered.select("part", "nth", "slot"), ["part", "nth"])
+    placed = map_batches(located.select("payload", number), place, "payload binary, number long, slot long")
     ranged = placed.select("slot", "payload", F.floor(F.col("slot") / per_shard).alias("shard")).repartitionByRange(min(shards, max(1, 4 * spark.sparkContext.defaultParallelism)) if shards < 1000 else shards // 8, "shard")
     manifest = stage(_write(ranged.sortWithinPartitions("slot").select("slot", "payload"), folder, per_shard), "manifest")
     sequences = numbered.select("slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), (F.col("slot") % per_shard * stride).alias("byte_offset"), "number", "first_doc_id", "n_docs", "n_tokens", "ids_crc32")
