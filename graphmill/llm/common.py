@@ -25,11 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
 
 
+#: Shuffle files of an execution go when it ends, not when the driver's garbage is next collected.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/graphmill-{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts lineage, and a lost executor loses nothing.
+
+    What the write shuffled is of no use once the table stands, so those files are freed at once.
+    """
+    conf, path = df.sparkSession.conf, f"{shared_dir(df.sparkSession)}/graphmill-{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
