@@ -207,6 +207,15 @@ def test_neighbours_edges(spark):
     assert rows(got, "query_id", "rank", "vec_id") == [(0, 1, 5), (0, 2, 50), (0, 3, 6), (50, 1, 0), (50, 2, 5), (50, 3, 6)]
 
 
+def test_neighbours_of_more_rows_than_four_rounds_reach(spark):
+    x = np.random.default_rng(8).normal(size=(4000, 128))
+    got = ann.neighbours_of_rows(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = rows(got, "query_id", "vec_id")
+    best = {(q, int(i)) for q in range(0, 4000, 50) for i in np.argsort(-(unit @ unit[q]))[1:6]}
+    assert len(found) == len(best) and len(best & set(found)) >= 0.9 * len(best)
+
+
 BLOCK = re.compile(r"</?(?:p|h[1-6]|article|li|ul|div|nav|footer|section|header|aside|body|blockquote|pre)\b[^>]*>", re.I)
 
 
