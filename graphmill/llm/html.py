@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from graphmill.llm.common import LOWER, NOT_ALNUM, map_batches, text_blocks, word_bounds, word_hashes
 
 # Elements of HTML by role.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "head", "canvas", "audio", "video")
+HIDDEN = ("script", "style", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "object", "textarea", "select", "canvas", "audio", "video")
+#: Elements that may stand in a head; the first other one ends it, as its tags may be omitted.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template object".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"button", "label", "option", "optgroup", "legend"}
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")(?=[\s>/])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")(?=[\s>/])(?P<own>[^>]*)>|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
     re.I | re.S,
 )
@@ -38,11 +40,15 @@ class Leaf(NamedTuple):
 
 
 def leaves(page: str | None) -> list[Leaf]:
-    """The leaf blocks of a page in order. Scripts, styles, comments and the head have none; unclosed elements end with what holds them."""
+    """The leaf blocks of a page in order. Scripts, styles, comments and the head have none; unclosed elements end with what holds them.
+
+    The head, tagged or not, ends at its end tag or before the first element or text that cannot stand in it.
+    """
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    page, at, linked, in_link = page or "", 0, 0, False
+    page, at, linked, in_link, in_head = page or "", 0, 0, False, True
+    never: set[str] = set()  # of these no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -53,20 +59,44 @@ def leaves(page: str | None) -> list[Leaf]:
         linked = 0
 
     def add(raw: str) -> None:
-        nonlocal linked
-        if raw:
+        nonlocal linked, in_head
+        in_head = in_head and not raw.strip("\ufeff \t\r\n\f")
+        if raw and not in_head:
             text = entities.unescape(raw)
             parts.append(text)
             if in_link:
                 linked += len(text)
 
-    for m in _MARKUP.finditer(page):
+    def end_of(tag: str) -> re.Match | None:
+        """The next end tag; one that was not found is not looked for again."""
+        found = None if tag in never else re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.I).search(page, at)
+        if not found:
+            never.add(tag)
+        return found
+
+    while m := _MARKUP.search(page, at):
         add(page[at : m.start()])
         at = m.end()
+        if m["raw"]:
+            raw = m["raw"].lower()
+            in_head = in_head and raw in IN_HEAD
+            if raw == "svg" and re.search(r"(?:^|[\s\"'])/\Z", m["own"]):
+                continue
+            if end := end_of(raw):
+                at = end.end()
+            else:  # hidden up to the end of the innermost block that has one
+                at = next((end.start() for tag, _ in reversed(stack) if (end := end_of(tag))), len(page))
+            continue
         tag = m["tag"]
         if not tag:
             continue
         tag, closing = tag.lower(), m["end"]
+        if in_head:
+            if tag == "title" and not closing:
+                end = end_of(tag)
+                at = end.end() if end else page.find("<", at) if "<" in page[at:] else len(page)
+                continue
+            in_head = tag not in ("head", "body", "html") if closing else tag in IN_HEAD
         if tag == "a":
             in_link = not closing
         elif tag in ("br", "wbr", "img"):

@@ -242,6 +242,26 @@ def test_pages_edges(spark):
     assert got[3] == "A & B\n\nSome text of this article, long enough to read."
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><body><article><p>Text</p></article>", ["Text"]),
+        ("<html><title>T</title><meta charset=utf-8><p>Text</p>", ["Text"]),
+        ("<head><title>T</title><style>s</style><script>x</script></head><body>Text", ["Text"]),
+        ("<head><meta charset=utf-8>Text<p>More", ["Text", "More"]),
+        ("<head><title>T<p>Text", ["Text"]),
+        ("<p>Before <svg/> after</p><p>Next</p>", ["Before after", "Next"]),
+        ("<p>Before <svg class='a' /> after</p><p><svg><text>x</text></svg>Next</p>", ["Before after", "Next"]),
+        ("<p>Is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> so</p>", ["Is x=2 so"]),
+        ("<p>Is <math/> so</p>", ["Is so"]),
+        ("<div><p>One <script>x</p><p>Two</p></div>", ["One", "Two"]),
+        ("<div>One <canvas>x</div>Two <canvas>y", ["One", "Two"]),
+    ],
+)
+def test_hidden_elements_end(page, want):
+    assert [x.text for x in html.leaves(page)] == want
+
+
 def test_shards(spark, sf, edges, documents, tmp_path):
     from tokenizers import Tokenizer
 
