@@ -156,7 +156,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 4, least: float = 0.8) -> DataFrame:
     """doc_id, row_hash, item_id, start, share: places where at least `least` of a window's words stand within slack words of
-    their offsets from the window's rarest word; start is where an exact match would begin."""
+    their offsets from one of its rarest words; start is where an exact match would begin.
+
+    So many of the rarest words lead that a place which holds a share of `least` holds one of them.
+    """
     rows = row_key(docs)
     windows = stage(item_windows(benchmark, window), "windows")
     out = None
@@ -166,10 +169,11 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack
         df = stage(document_frequencies(rows, terms), "df")
         order = Window.partitionBy("win_id").orderBy(F.coalesce("n", F.lit(0)), "term", "off")
         ranked = stage(exploded.join(df, "term", "left").withColumn("rank", F.row_number().over(order) - 1).drop("n"), "ranked")
-        leads = np.array(sorted(r[0] for r in ranked.where("rank = 0").select("term").distinct().collect()), np.int64)
+        leading = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9))
+        leads = np.array(sorted(r[0] for r in leading.select("term").distinct().collect()), np.int64)
         index = stage(postings(rows, terms, leads, window - 1 + slack), "index")
         posts = index.where(F.size("terms") > 0).select("doc_id", "row_hash", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("places").alias("place"))))
-        found = posts.join(ranked.where("rank = 0"), "term").select("doc_id", "row_hash", "win_id", "item_id", "size", (F.col("place") - F.col("off")).alias("start"))
+        found = posts.join(leading, "term").select("doc_id", "row_hash", "win_id", "item_id", "size", (F.col("place") - F.col("off")).alias("start")).distinct()
         need = found.join(ranked.select("win_id", "term", "off"), "win_id").withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("place", F.col("start") + F.col("off") + F.col("shift"))
         met = need.join(posts, ["doc_id", "row_hash", "term", "place"], "left_semi").groupBy("doc_id", "row_hash", "win_id", "item_id", "size", "start").agg(F.countDistinct("off").alias("n"))
         got = met.select("doc_id", "row_hash", "item_id", "start", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= least)

@@ -77,6 +77,13 @@ def test_proximity_finds_a_changed_phrase(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 9)} and max(r["share"] for r in found) == 1
 
 
+@pytest.mark.parametrize("altered", [(4,), (0, 9)])
+def test_proximity_finds_a_phrase_with_altered_words(spark, altered):
+    docs = spark.createDataFrame([(1, " ".join("new" if i in altered else w for i, w in enumerate(W[:10]))), (2, "w1 w2 w3 w4 w5 w6 w7 and no more")], "doc_id long, text string")
+    found = decontaminate.proximity(docs, spark.createDataFrame([(9, " ".join(W[:10]))], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 9)} and max(r["share"] for r in found) == 1 - len(altered) / 10
+
+
 def test_secrets(spark, sf, edges, documents):
     assert rows(Q["op9_secret_scan"](spark, sf), *SECRETS) == brute.secrets(documents)
     assert rows(secrets.digest(secrets.scan(edges)), *SECRETS) == brute.secrets(EDGES)
