@@ -4,6 +4,9 @@ import decimal
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,3 +47,15 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_corpus_folders(tmp_path):
+    """The repository stays usable where graphmill/llm, tests/llm and corpus_pipeline.py are gone, in any combination."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "a", ignore=skip)
+    shutil.copytree(tmp_path / "a", tmp_path / "b", ignore=shutil.ignore_patterns("corpus_pipeline.py"))
+    for copy in ("a", "b"):
+        code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+        done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / copy, env=os.environ | {"PYTHONPATH": str(tmp_path / copy)}, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
