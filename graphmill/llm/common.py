@@ -45,6 +45,23 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one row in so many is hot; there are fewer hot keys than this.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, key) where one key may hold a third of left. Read twice, so both should be written tables.
+
+    right: one row a key, with column `n`, how many rows of left have the key. Hot keys (fewer than HOT rows,
+    whatever the size of left) are broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot, rare = right.where(F.col("n") * HOT > total), right.where(F.col("n") * HOT <= total)
+    # Below HOT rows in all, every key counts as hot and nothing is left to shuffle.
+    met = left.join(F.broadcast(hot), key, "inner" if how == "left" else how)
+    return met.unionByName(left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rare, key, how))
+
+
 #: Stands for a null id inside joins, which would lose nulls.
 NULL_ID = -(1 << 63)
 
