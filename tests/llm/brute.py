@@ -97,8 +97,8 @@ def secrets(docs):
     return sorted(out)
 
 
-def lines(docs, run=3):
-    """(doc_id, text, lines, deleted) with each repeated run of lines deleted."""
+def lines(docs, run=3, long_words=20):
+    """(doc_id, text, lines, deleted) with each repeated run of lines, and each repeated long line, deleted."""
     blank = " \t\r\f\v"
     texts = {d: t.split("\n") for d, t in docs if t is not None}
     kept = {d: [(i, x.strip(blank)) for i, x in enumerate(ls) if x.strip(blank)] for d, ls in texts.items()}
@@ -109,4 +109,9 @@ def lines(docs, run=3):
             if key in first:
                 gone[d] |= {i for i, _ in kept[d][n : n + run]}
             first.setdefault(key, (d, n))
+        for i, x in kept[d]:
+            if len(re.split(r"[ \t\r\f\v]+", x)) >= long_words:
+                if (x,) in first:
+                    gone[d].add(i)
+                first.setdefault((x,), (d, i))
     return sorted((d, None if t is None else "\n".join(x for i, x in enumerate(texts[d]) if i not in gone[d]), len(kept.get(d, ())), len(gone[d])) for d, t in docs)

@@ -96,6 +96,22 @@ def test_lines(spark, sf, edges, documents):
     assert all(got[d]["n_chars"] == len(got[d]["text"]) for d in got if got[d]["text"] is not None)
 
 
+@pytest.mark.parametrize("run", [2, 3, 5])
+def test_lines_of_random_texts(spark, run):
+    """Few kinds of lines make ties, overlapping repeats within a document, and places whose first match is not the longest."""
+    rng = np.random.default_rng(run)
+    kinds = ["a", "b", " c ", "d", "", " ".join(W[:20]), " ".join(W[5:30])]
+    docs = [(d, "\n".join(rng.choice(kinds, rng.integers(0, 30)))) for d in range(60)]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), run)
+    assert rows(got, *LINES) == brute.lines(docs, run)
+
+
+def test_lines_of_a_hot_passage(spark):
+    docs = [(d, f"own {d}\nx\ny\nz\n{d} end") for d in range(1500)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got[0] == docs[0][1] and all(got[d] == f"own {d}\n{d} end" for d in range(1, 1500))
+
+
 def check_packing(docs, packed, capacity=2048):
     from tokenizers import Tokenizer
 
