@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,11 @@ from graphmill.llm.common import LOWER, NOT_ALNUM, lists, map_batches, real_id,
 
 #: Words of a phrase, and distinct benchmark words that travel to the tasks at a time (16 bytes each).
 WINDOW, BLOCK_TERMS = 10, 1_000_000
+#: A place is near a phrase if this share of its words stands within so many words of their offsets.
+LEAST, SLACK = 0.8, 4
+#: Parts into which the postings of every word are dealt by document, so that a common word is no one task's burden.
+TERM_BLOCKS = 64
+_WINDOW_KEY = ["doc_id", "row_hash", "win_id", "item_id", "size", "start"]
 
 
 def hashed_words(texts: pa.Array):
@@ -22,19 +29,20 @@ def hashed_words(texts: pa.Array):
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """win_id, item_id, terms: each window of consecutive words of each item; an item of fewer words, but not none, is one.
-    Items whose id or text is null have none; repeated items count once."""
+    """win_id, item_id, terms, first: each window of consecutive words of each item (from its word `first`, the least of equal
+    windows); an item of fewer words, but not none, is one. Items whose id or text is null have none; repeated items count once."""
 
     def run(b: pa.RecordBatch):
         for at, sizes, words in hashed_words(b.column(1)):
             ids, out, first = b.column(0)[at : at + len(sizes)].to_pylist(), [], 0
             for item, n in zip(ids, sizes.tolist()):
-                out += [(item, words[first + i : first + min(n, i + window)]) for i in range(max(1, n - window + 1) if n else 0)]
+                out += [(item, words[first + i : first + min(n, i + window)], i) for i in range(max(1, n - window + 1) if n else 0)]
                 first += n
-            yield {"item_id": pa.array([i for i, _ in out], pa.int64()), "terms": pa.array([t for _, t in out], pa.list_(pa.int64()))}
+            yield {"item_id": pa.array([x[0] for x in out], pa.int64()), "terms": pa.array([x[1] for x in out], pa.list_(pa.int64())), "first": pa.array([x[2] for x in out], pa.int32())}
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(rows, run, "item_id long, terms array<long>").distinct().withColumn("win_id", F.xxhash64("item_id", "terms"))
+    found = map_batches(rows, run, "item_id long, terms array<long>, first int").groupBy("item_id", "terms").agg(F.min("first").alias("first"))
+    return found.withColumn("win_id", F.xxhash64("item_id", "terms"))
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -55,10 +63,11 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: np.ndarray, leads: np.ndarray, reach: int) -> DataFrame:
-    """The index: one row a document with n_words, the indexed terms' hashes and their positions (in order).
+    """The positional inverted index, written by word: a row for each word and document with the word's places there in order.
 
-    terms: sorted hashes of all benchmark words; of these, postings are stored where some lead (the rarest word
-    of a window) stands within reach words, since every place of a window holds its lead.
+    Columns term, block (of documents), doc_id, row_hash, places, n_words; and for each document one row of null term with
+    its number of words. terms: sorted hashes of all benchmark words; of these, postings are stored where some lead (one
+    of the rarest words of a window) stands within reach words, since every place of a window holds a lead.
     """
 
     def run(b: pa.RecordBatch):
@@ -73,70 +82,119 @@ def postings(docs: DataFrame, terms: np.ndarray, leads: np.ndarray, reach: int)
             near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             at = np.minimum(np.searchsorted(terms, words[near]), len(terms) - 1)
             near = near[terms[at] == words[near]]
-            count = np.diff(np.searchsorted(near, rows))
-            places = near - np.repeat(rows[:-1], count)
-            part = b.slice(first, len(sizes))
-            yield {"doc_id": part.column(0), "row_hash": part.column(2), "n_words": pa.array(sizes), "terms": lists(words[near], count), "places": lists(places.astype(np.int32), count)}
-
-    return map_batches(docs, run, "doc_id long, row_hash long, n_words long, terms array<long>, places array<int>")
-
-
-def _matches(index: DataFrame, windows: DataFrame) -> DataFrame:
+            row = np.searchsorted(rows, near, "right") - 1
+            order = np.lexsort((near, words[near], row))  # by document, then word, then place
+            near, row = near[order], row[order]
+            word = words[near]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(word) != 0)])) if len(near) else near
+            count = np.diff(np.append(new, len(near)))
+            part, n = b.slice(first, len(sizes)), len(sizes)
+            take = pa.array(np.concatenate([np.arange(n), row[new]]))
+            yield {
+                "term": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(word[new])]), "doc_id": part.column(0).take(take), "row_hash": part.column(2).take(take),
+                "n_words": pa.concat_arrays([pa.array(sizes.astype(np.int64)), pa.nulls(len(new), pa.int64())]), "places": lists((near - rows[row]).astype(np.int32), np.concatenate([np.zeros(n, np.int64), count])),
+            }
+
+    rows = map_batches(docs, run, "term long, doc_id long, row_hash long, n_words long, places array<int>").withColumn("block", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(TERM_BLOCKS)).cast("int"))
+    return stage(rows.repartition("term", "block").sortWithinPartitions("term", "doc_id", "row_hash"), "index")
+
+
+def _holding(found: DataFrame, posts: DataFrame, slack: int = 0) -> DataFrame:
+    """The rows of found (with term and off) whose document has the word at start + off, give or take slack words."""
+    f, p = found.alias("f"), posts.select("term", "doc_id", "row_hash", "places").alias("p")
+    place = F.col("f.start") + F.col("f.off")
+    stands = F.array_contains("p.places", place) if slack == 0 else F.exists("p.places", lambda x: F.abs(x - place) <= slack)
+    same = [F.col(f"f.{c}") == F.col(f"p.{c}") for c in ("doc_id", "row_hash", "term")]
+    return f.join(p, [*same, stands], "left_semi").select("f.*")
+
+
+def _led(posts: DataFrame, leads: DataFrame) -> DataFrame:
+    """Where windows would begin by the places of the leads (a bounded table: so many windows make a block)."""
+    met = posts.join(F.broadcast(leads.select("term", "off", "win_id", "item_id", "size")), "term")
+    return met.select("doc_id", "row_hash", "win_id", "item_id", "size", F.explode(F.transform("places", lambda x: x - F.col("off"))).alias("start"))
+
+
+def _matches(posts: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, row_hash, item_id, start, size: where all words of a window stand at their offsets.
 
     windows: win_id, item_id, term, off, size, rank (0: the window's rarest word). Lists are intersected from
     the rarest: its places give candidates, the second rarest thins them, the others confirm what is left.
     """
-    posts = index.where(F.size("terms") > 0).select("doc_id", "row_hash", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("places").alias("place"))))
-    found = posts.join(windows.where("rank = 0"), "term").select("doc_id", "row_hash", "win_id", "item_id", "size", (F.col("place") - F.col("off")).alias("start")).where("start >= 0")
-    second = found.where("size > 1").join(windows.where("rank = 1").select("win_id", "term", "off"), "win_id")
-    second = second.withColumn("place", F.col("start") + F.col("off")).join(posts, ["doc_id", "row_hash", "term", "place"], "left_semi")
-    rest = second.where("size > 2").select("doc_id", "row_hash", "win_id", "item_id", "size", "start").join(windows.where("rank > 1").select("win_id", "term", "off"), "win_id")
-    whole = rest.withColumn("place", F.col("start") + F.col("off")).join(posts, ["doc_id", "row_hash", "term", "place"], "left_semi")
-    key = ["doc_id", "row_hash", "item_id", "win_id", "start", "size"]
+    found = _led(posts, windows.where("rank = 0")).where("start >= 0")
+    second = _holding(found.where("size > 1").join(windows.where("rank = 1").select("win_id", "term", "off"), "win_id"), posts)
+    second = second.select(*_WINDOW_KEY)
+    rest = second.where("size > 2").join(windows.where("rank > 1").select("win_id", "term", "off"), "win_id")
     # A set, since repeated rows give each place several times; it holds no more than a window's words.
-    whole = whole.groupBy(*key).agg(F.size(F.collect_set("off")).alias("n")).where("n = size - 2").select(*key)
-    return found.where("size = 1").select(*key).unionByName(second.where("size = 2").select(*key)).unionByName(whole).drop("win_id").distinct()
+    whole = _holding(rest, posts).groupBy(*_WINDOW_KEY).agg(F.size(F.collect_set("off")).alias("n")).where("n = size - 2").select(*_WINDOW_KEY)
+    return found.where("size = 1").select(*_WINDOW_KEY).unionByName(second.where("size = 2")).unionByName(whole).drop("win_id").distinct()
+
+
+def _spare(least: float) -> F.Column:
+    """How many of a window's words a near place may lack."""
+    return F.col("size") - F.ceil(F.col("size") * least - 1e-9)
+
+
+def _near(posts: DataFrame, windows: DataFrame, slack: int, least: float) -> DataFrame:
+    """doc_id, row_hash, item_id, start, share: near places of windows, start as each of their leads would have it.
+
+    A place may lack `spare` words, so one of the spare + 1 rarest leads to it, and of the spare + 2 rarest it holds two.
+    Those two are looked for first, for all windows of an item at once: lists are shifted by the words' places in the
+    item, and only entries that have another within slack go on. Then the rarest are counted, and the others for what is left.
+    """
+    spare = _spare(least)
+    item_off = F.col("first") + F.col("off")
+    # Both tables are bounded by the words of a block.
+    support = windows.where(F.col("rank") <= spare + 1).where("size > 1").select("term", "item_id", item_off.alias("item_off")).distinct()
+    leads = windows.where(F.col("rank") <= spare).where("size > 1").select("item_id", item_off.alias("item_off"), "win_id", "size", "first")
+    spots = posts.join(F.broadcast(support), "term").select("doc_id", "row_hash", "item_id", "item_off", F.explode(F.transform("places", lambda x: x - F.col("item_off"))).alias("shift"))
+    order = Window.partitionBy("doc_id", "row_hash", "item_id").orderBy("shift")
+    gap = F.least(F.col("shift") - F.lag("shift").over(order), F.lead("shift").over(order) - F.col("shift"))
+    pairs = spots.withColumn("gap", gap).where(F.col("gap") <= slack)
+    found = pairs.join(F.broadcast(leads), ["item_id", "item_off"]).select("doc_id", "row_hash", "win_id", "item_id", "size", (F.col("shift") + F.col("first")).alias("start"))
+    found = stage(found.union(_led(posts, windows.where("size = 1"))).distinct(), "near")
+    terms = windows.select("win_id", "term", "off", "rank")
+    count = lambda df, name: df.groupBy(*_WINDOW_KEY).agg(F.size(F.collect_set("off")).alias(name))
+    first = stage(count(_holding(found.join(terms, "win_id").where(F.col("rank") <= spare + 1), posts, slack), "few").where(F.col("few") >= F.least("size", spare + 2) - spare), "nearer")
+    other = count(_holding(first.drop("few").join(terms, "win_id").where(F.col("rank") > spare + 1), posts, slack), "more")
+    share = (F.col("few") + F.coalesce("more", F.lit(0))) / F.col("size")
+    return first.join(other, _WINDOW_KEY, "left").select("doc_id", "row_hash", "item_id", "start", share.alias("share")).where(F.col("share") >= least - 1e-9)
 
 
 def _blocks(windows: DataFrame) -> list[DataFrame]:
-    """The windows in runs of at most BLOCK_TERMS words each, so that what travels to the tasks stays bounded."""
+    """The windows in parts of about BLOCK_TERMS words each, so that what travels to the tasks stays bounded."""
     words = windows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     n = -(-int(words) // BLOCK_TERMS)
-    return [windows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, row_hash, n_words; exact matches: doc_id, row_hash, item_id, start, size)."""
-    rows = row_key(docs)
-    windows = stage(item_windows(benchmark, window), "windows")
-    counted, matches = None, None
-    none = np.zeros(1, np.int64)
-    for block in _blocks(windows) or [None]:
-        if block is None:
-            counted = stage(postings(rows, none, none[:0], window - 1), "index")
-            matches = counted.select("doc_id", "row_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("size")).limit(0)
-            break
-        exploded = block.select("win_id", "item_id", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
-        terms = np.array(sorted(r[0] for r in exploded.select("term").distinct().collect()), np.int64)
+    return [windows.where(F.pmod(F.xxhash64("win_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = False, slack: int = SLACK, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, row_hash, n_words; exact matches: doc_id, row_hash, item_id, start, size; near ones, if asked for:
+    doc_id, row_hash, item_id, start, share). Ids are those of row_key; an index is built for each block of windows."""
+    rows, parts = row_key(docs), []
+    for block in _blocks(windows := stage(item_windows(benchmark, window), "windows")) or [windows]:
+        exploded = block.select("win_id", "item_id", "first", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
+        terms = np.array(sorted(r[0] for r in exploded.select("term").distinct().collect()) or [0], np.int64)
         df = stage(document_frequencies(rows, terms), "df")
         order = Window.partitionBy("win_id").orderBy(F.coalesce("n", F.lit(0)), "term", "off")
         ranked = stage(exploded.join(df, "term", "left").withColumn("rank", F.row_number().over(order) - 1).drop("n"), "ranked")
-        leads = np.array(sorted(r[0] for r in ranked.where("rank = 0").select("term").distinct().collect()), np.int64)
-        index = stage(postings(rows, terms, leads, window - 1), "index")
-        found = _matches(index, ranked)
-        counted, matches = counted or index, found if matches is None else matches.unionByName(found)
-    return counted.select("doc_id", "row_hash", "n_words"), matches
+        leading = ranked.where(F.col("rank") <= _spare(least)) if near else ranked.where("rank = 0")
+        leads = np.array(sorted(r[0] for r in leading.select("term").distinct().collect()), np.int64)
+        index = postings(rows, terms, leads, window - 1 + (slack if near else 0))
+        posts = index.where("term is not null")
+        parts.append((index.where("term is null").select("doc_id", "row_hash", "n_words"), _matches(posts, ranked), _near(posts, ranked, slack, least) if near else None))
+    every = lambda i: reduce(DataFrame.unionByName, (p[i] for p in parts))
+    return parts[0][0], every(1), every(2) if near else None
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_hash, n_words, n_hit, n_items, items (ids), spans (word positions) of every document.
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = False) -> DataFrame:
+    """doc_id, row_hash, n_words, n_hit, n_items, items (ids), spans (word positions) of every document; and where near is
+    asked for near_items, the ids of the items of which a place comes near (as `proximity` tells; exact places are near).
 
     A window is `window` consecutive words of an item ([0-9a-z] and non-ASCII runs, ASCII letters lower-cased);
     an item of fewer words is one window. A word of a document inside any place of a window is hit. Null texts
     have no words; rows of one doc_id are told apart by a hash of their texts; an empty benchmark hits nothing.
     """
-    counted, matches = find(docs, benchmark, window)
+    counted, matches, close = find(docs, benchmark, window, near)
     order = Window.partitionBy("doc_id", "row_hash").orderBy("start", "to")
     places = matches.select("doc_id", "row_hash", "start", (F.col("start") + F.col("size")).alias("to")).distinct()
     reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -146,38 +204,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     items = matches.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     hits = spans.join(items, ["doc_id", "row_hash"])
     out = counted.join(hits, ["doc_id", "row_hash"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select(real_id(), "row_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    out = out.select("doc_id", "row_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    if near:
+        around = close.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("near_items"))
+        out = out.join(around, ["doc_id", "row_hash"], "left").withColumn("near_items", F.coalesce("near_items", F.array().cast("array<string>")))
+    return out.withColumn("doc_id", real_id())
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The items as one hash, and whether anything was hit."""
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The items as one hash, and whether anything was hit; how many items come near, if that was asked for."""
+    more = [F.size("near_items").cast("long").alias("n_near_items")] if "near_items" in found.columns else []
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *more)
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 4, least: float = 0.8) -> DataFrame:
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, least: float = LEAST) -> DataFrame:
     """doc_id, row_hash, item_id, start, share: places where at least `least` of a window's words stand within slack words of
     their offsets from one of its rarest words; start is where an exact match would begin.
 
-    So many of the rarest words lead that a place which holds a share of `least` holds one of them.
+    So many of the rarest words lead that a place which holds a share of `least` holds one of them. Nulls, repeats
+    and empty tables as in `contaminated`; other columns are left out.
     """
-    rows = row_key(docs)
-    windows = stage(item_windows(benchmark, window), "windows")
-    out = None
-    for block in _blocks(windows):
-        exploded = block.select("win_id", "item_id", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
-        terms = np.array(sorted(r[0] for r in exploded.select("term").distinct().collect()), np.int64)
-        df = stage(document_frequencies(rows, terms), "df")
-        order = Window.partitionBy("win_id").orderBy(F.coalesce("n", F.lit(0)), "term", "off")
-        ranked = stage(exploded.join(df, "term", "left").withColumn("rank", F.row_number().over(order) - 1).drop("n"), "ranked")
-        leading = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9))
-        leads = np.array(sorted(r[0] for r in leading.select("term").distinct().collect()), np.int64)
-        index = stage(postings(rows, terms, leads, window - 1 + slack), "index")
-        posts = index.where(F.size("terms") > 0).select("doc_id", "row_hash", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("places").alias("place"))))
-        found = posts.join(leading, "term").select("doc_id", "row_hash", "win_id", "item_id", "size", (F.col("place") - F.col("off")).alias("start")).distinct()
-        need = found.join(ranked.select("win_id", "term", "off"), "win_id").withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("place", F.col("start") + F.col("off") + F.col("shift"))
-        met = need.join(posts, ["doc_id", "row_hash", "term", "place"], "left_semi").groupBy("doc_id", "row_hash", "win_id", "item_id", "size", "start").agg(F.countDistinct("off").alias("n"))
-        got = met.select("doc_id", "row_hash", "item_id", "start", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= least)
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return rows.select("doc_id", "row_hash", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("share")).limit(0)
-    return out.groupBy(real_id(), "row_hash", "item_id", "start").agg(F.max("share").alias("share"))
+    close = find(docs, benchmark, window, True, slack, least)[2]
+    return close.groupBy(real_id(), "row_hash", "item_id", "start").agg(F.max("share").alias("share"))

@@ -79,6 +79,23 @@ def leaks(docs, items, window=10):
     return sorted(out)
 
 
+def near_items(docs, items, window=10, least=0.8):
+    """{(doc_id, item_id)} where that share of a window's words stands at their offsets from some place."""
+    windows = []
+    for item, t in items:
+        w = ALNUM.findall((t or "").translate(UPPER))
+        windows += [(item, w[i : i + window]) for i in range(max(1, len(w) - window + 1) if w else 0)]
+    out = set()
+    for d, t in docs:
+        at = dict(enumerate(ALNUM.findall((t or "").translate(UPPER))))
+        known = set(at.values())
+        for item, w in windows:
+            if sum(x in known for x in w) >= least * len(w) - 1e-9:
+                if any(sum(at.get(s + i) == x for i, x in enumerate(w)) >= least * len(w) - 1e-9 for s in range(-len(w), len(at))):
+                    out.add((d, item))
+    return out
+
+
 RULES = [
     ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),

@@ -71,6 +71,15 @@ def test_leaks(spark, sf, edges, documents):
     assert rows(decontaminate.digest(decontaminate.contaminated(edges, made.limit(0))), *LEAKS) == brute.leaks(EDGES, [])
 
 
+def test_proximity_against_brute_force(spark, edges):
+    rng = np.random.default_rng(3)
+    base = [[f"q{i}" for i in rng.integers(0, 60, 30)] for _ in range(12)]
+    docs = [(d, " ".join(f"q{rng.integers(0, 60)}" if rng.random() < 0.12 else x for x in base[d % 12])) for d in range(120)] + [x for x in EDGES if x[0] not in (14, 15)]
+    items = [(i, " ".join(b[5:20])) for i, b in enumerate(base[:5])] + [(100 + i, t) for i, t in ITEMS]
+    got = decontaminate.proximity(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), slack=0)
+    assert {tuple(r) for r in got.select("doc_id", "item_id").collect()} == brute.near_items(docs, items)
+
+
 def test_proximity_finds_a_changed_phrase(spark):
     docs = spark.createDataFrame([(1, " ".join(W[:5] + ["new"] + W[5:12])), (2, "nothing of that")], "doc_id long, text string")
     found = decontaminate.proximity(docs, spark.createDataFrame([(9, " ".join(W[:10]))], "item_id long, text string")).collect()
