@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import LOWER, NOT_ALNUM, lists, map_batches, real_id, row_key, stage, text_blocks, word_bounds, word_hashes
+from graphmill.llm.common import LOWER, NOT_ALNUM, gather, lists, map_batches, real_id, row_key, stage, text_blocks, word_bounds, word_hashes
 
 #: Words of a phrase, and distinct benchmark words that travel to the tasks at a time (16 bytes each).
 WINDOW, BLOCK_TERMS = 10, 1_000_000
@@ -62,41 +63,108 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def postings(docs: DataFrame, terms: np.ndarray, leads: np.ndarray, reach: int) -> DataFrame:
+class Support(NamedTuple):
+    """What tells where the index needs postings for near places: as much as a block of windows has words.
+
+    terms: hashes of all words, sorted; begins, item, off: the places in items of each one that is among a window's rarest;
+    every: the places of all words, as sorted numbers; need: how many words of an item a near place has at least.
+    """
+
+    terms: np.ndarray
+    begins: np.ndarray
+    item: np.ndarray
+    off: np.ndarray
+    every: np.ndarray
+    need: np.ndarray
+
+    @staticmethod
+    def of(rows: list, least: float) -> Support:
+        """rows: (term, item_id, place in the item, size of its windows, whether it is among the rarest of one)."""
+        term, item, off, size = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        rare = np.array([r[4] for r in rows], bool)
+        terms, t = np.unique(term, return_inverse=True)
+        ids, item = np.unique(item, return_inverse=True)
+        need = np.zeros(len(ids), np.int64)
+        np.maximum.at(need, item, np.ceil(size * least - 1e-9).astype(np.int64))
+        order = np.flatnonzero(rare)[np.argsort(t[rare], kind="stable")]
+        return Support(terms, np.searchsorted(t[order], np.arange(len(terms) + 1)), item[order], off[order], np.sort((item * len(terms) + t << 24) + off), need)
+
+    def spots(self, words: np.ndarray, row: np.ndarray, slack: int, reach: int) -> np.ndarray:
+        """Places of words (whose documents are in row) with another rare word of an item in line with it, give or take slack, and
+        around it as many of the item's words in line as it needs. Never too few: a word counts for every place it fits."""
+        if not len(self.terms) or not len(words):
+            return np.zeros(0, np.int64)
+        t = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        known = self.terms[t] == words
+        hit = np.flatnonzero(known)
+        n = self.begins[t[hit] + 1] - self.begins[t[hit]]
+        entry, place = gather(self.begins[t[hit]], n), np.repeat(hit, n)
+        item, shift = self.item[entry], place - self.off[entry]
+        # One number that sorts by row, item and shift.
+        key = (row[place] * np.int64(len(self.need)) + item << np.int64(32)) + (shift + (1 << 24))
+        order = np.argsort(key, kind="stable")
+        close = np.flatnonzero(np.diff(key[order]) <= slack)
+        pair = np.unique(order[np.concatenate([close, close + 1])])
+        around, out = np.arange(-reach, reach + 1), []
+        for at in range(0, len(pair), 20_000):
+            x = pair[at : at + 20_000]
+            q = place[x][:, None] + around
+            inside = (q >= 0) & (q < len(words))
+            q = np.clip(q, 0, len(words) - 1)
+            inside &= known[q] & (row[q] == row[place[x]][:, None])
+            low = (item[x][:, None] * len(self.terms) + t[q] << 24) + np.maximum(q - shift[x][:, None] - slack, 0)
+            high = (item[x][:, None] * len(self.terms) + t[q] << 24) + np.maximum(q - shift[x][:, None] + slack + 1, 0)
+            count = np.where(inside, np.searchsorted(self.every, high) - np.searchsorted(self.every, low), 0).sum(1)
+            out.append(place[x[count >= self.need[item[x]]]])
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def postings(docs: DataFrame, terms: np.ndarray, leads: np.ndarray, reach: int, support: Support | None = None, slack: int = SLACK) -> DataFrame:
     """The positional inverted index, written by word: a row for each word and document with the word's places there in order.
 
-    Columns term, block (of documents), doc_id, row_hash, places, n_words; and for each document one row of null term with
-    its number of words. terms: sorted hashes of all benchmark words; of these, postings are stored where some lead (one
-    of the rarest words of a window) stands within reach words, since every place of a window holds a lead.
+    Columns term, block (of documents), close, doc_id, row_hash, places, n_words; and for each document one row of null term
+    with its number of words. terms: sorted hashes of all benchmark words; of these, postings are stored where a lead (the
+    rarest word of a window) stands within reach words, since every place of a window holds its lead; and (close)
+    around the spots of the support, since every near place has them.
     """
 
+    def entries(words: np.ndarray, rows: np.ndarray, lead: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of all indexed words within reach of the leads, sorted by document and word; where each entry begins; its document)"""
+        row = np.searchsorted(rows, lead, "right") - 1
+        near = np.zeros(len(words) + 1, np.int64)
+        np.add.at(near, np.maximum(lead - reach, rows[row]), 1)
+        np.add.at(near, np.minimum(lead + reach + 1, rows[row + 1]), -1)
+        near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        at = np.minimum(np.searchsorted(terms, words[near]), len(terms) - 1)
+        near = near[terms[at] == words[near]]
+        row = np.searchsorted(rows, near, "right") - 1
+        order = np.lexsort((near, words[near], row))
+        near, row = near[order], row[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(words[near]) != 0)])) if len(near) else near
+        return near, new, row
+
     def run(b: pa.RecordBatch):
         for first, sizes, words in hashed_words(b.column(1)):
-            rows = np.concatenate([[0], np.cumsum(sizes)])
-            at = np.minimum(np.searchsorted(leads, words), max(0, len(leads) - 1))
-            lead = np.flatnonzero(leads[at] == words) if len(leads) else np.zeros(0, np.int64)
-            row = np.searchsorted(rows, lead, "right") - 1
-            near = np.zeros(len(words) + 1, np.int64)
-            np.add.at(near, np.maximum(lead - reach, rows[row]), 1)
-            np.add.at(near, np.minimum(lead + reach + 1, rows[row + 1]), -1)
-            near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            at = np.minimum(np.searchsorted(terms, words[near]), len(terms) - 1)
-            near = near[terms[at] == words[near]]
-            row = np.searchsorted(rows, near, "right") - 1
-            order = np.lexsort((near, words[near], row))  # by document, then word, then place
-            near, row = near[order], row[order]
-            word = words[near]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(word) != 0)])) if len(near) else near
-            count = np.diff(np.append(new, len(near)))
-            part, n = b.slice(first, len(sizes)), len(sizes)
-            take = pa.array(np.concatenate([np.arange(n), row[new]]))
+            part, rows = b.slice(first, len(sizes)), np.concatenate([[0], np.cumsum(sizes)])
+            none = np.zeros(len(sizes), np.int64)
             yield {
-                "term": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(word[new])]), "doc_id": part.column(0).take(take), "row_hash": part.column(2).take(take),
-                "n_words": pa.concat_arrays([pa.array(sizes.astype(np.int64)), pa.nulls(len(new), pa.int64())]), "places": lists((near - rows[row]).astype(np.int32), np.concatenate([np.zeros(n, np.int64), count])),
+                "term": pa.nulls(len(sizes), pa.int64()), "close": pa.array(none.astype(bool)), "doc_id": part.column(0), "row_hash": part.column(2),
+                "n_words": pa.array(sizes.astype(np.int64)), "places": lists(np.zeros(0, np.int32), none),
             }
+            at = np.minimum(np.searchsorted(leads, words), max(0, len(leads) - 1))
+            found = [(False, np.flatnonzero(leads[at] == words) if len(leads) else none[:0], reach)]
+            if support:
+                found.append((True, support.spots(words, np.repeat(np.arange(len(sizes)), sizes), slack, reach + slack), reach + slack))
+            for close, lead, wide in found:
+                near, new, row = entries(words, rows, lead, wide)
+                take = pa.array(row[new])
+                yield {
+                    "term": pa.array(words[near[new]]), "close": pa.array(np.full(len(new), close)), "doc_id": part.column(0).take(take), "row_hash": part.column(2).take(take),
+                    "n_words": pa.nulls(len(new), pa.int64()), "places": lists((near - rows[row]).astype(np.int32), np.diff(np.append(new, len(near)))),
+                }
 
-    rows = map_batches(docs, run, "term long, doc_id long, row_hash long, n_words long, places array<int>").withColumn("block", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(TERM_BLOCKS)).cast("int"))
-    return stage(rows.repartition("term", "block").sortWithinPartitions("term", "doc_id", "row_hash"), "index")
+    rows = map_batches(docs, run, "term long, close boolean, doc_id long, row_hash long, n_words long, places array<int>").withColumn("block", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(TERM_BLOCKS)).cast("int"))
+    return stage(rows.repartition("term", "block").sortWithinPartitions("close", "term", "doc_id", "row_hash"), "index")
 
 
 def _holding(found: DataFrame, posts: DataFrame, slack: int = 0) -> DataFrame:
@@ -134,6 +202,12 @@ def _spare(least: float) -> F.Column:
     return F.col("size") - F.ceil(F.col("size") * least - 1e-9)
 
 
+def _support(windows: DataFrame, least: float) -> DataFrame:
+    """term, item_id, item_off, size, rare: the places in items of all words; rare: a near place of some window holds two of these."""
+    placed = windows.where("size > 1").groupBy("term", "item_id", (F.col("first") + F.col("off")).alias("item_off"))
+    return placed.agg(F.max("size").alias("size"), F.max(F.col("rank") <= _spare(least) + 1).alias("rare"))
+
+
 def _near(posts: DataFrame, windows: DataFrame, slack: int, least: float) -> DataFrame:
     """doc_id, row_hash, item_id, start, share: near places of windows, start as each of their leads would have it.
 
@@ -144,14 +218,14 @@ def _near(posts: DataFrame, windows: DataFrame, slack: int, least: float) -> Dat
     spare = _spare(least)
     item_off = F.col("first") + F.col("off")
     # Both tables are bounded by the words of a block.
-    support = windows.where(F.col("rank") <= spare + 1).where("size > 1").select("term", "item_id", item_off.alias("item_off")).distinct()
+    support = _support(windows, least).where("rare").select("term", "item_id", "item_off")
     leads = windows.where(F.col("rank") <= spare).where("size > 1").select("item_id", item_off.alias("item_off"), "win_id", "size", "first")
     spots = posts.join(F.broadcast(support), "term").select("doc_id", "row_hash", "item_id", "item_off", F.explode(F.transform("places", lambda x: x - F.col("item_off"))).alias("shift"))
     order = Window.partitionBy("doc_id", "row_hash", "item_id").orderBy("shift")
     gap = F.least(F.col("shift") - F.lag("shift").over(order), F.lead("shift").over(order) - F.col("shift"))
     pairs = spots.withColumn("gap", gap).where(F.col("gap") <= slack)
     found = pairs.join(F.broadcast(leads), ["item_id", "item_off"]).select("doc_id", "row_hash", "win_id", "item_id", "size", (F.col("shift") + F.col("first")).alias("start"))
-    found = stage(found.union(_led(posts, windows.where("size = 1"))).distinct(), "near")
+    found = stage(found.distinct(), "near")
     terms = windows.select("win_id", "term", "off", "rank")
     count = lambda df, name: df.groupBy(*_WINDOW_KEY).agg(F.size(F.collect_set("off")).alias(name))
     first = stage(count(_holding(found.join(terms, "win_id").where(F.col("rank") <= spare + 1), posts, slack), "few").where(F.col("few") >= F.least("size", spare + 2) - spare), "nearer")
@@ -177,11 +251,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool
         df = stage(document_frequencies(rows, terms), "df")
         order = Window.partitionBy("win_id").orderBy(F.coalesce("n", F.lit(0)), "term", "off")
         ranked = stage(exploded.join(df, "term", "left").withColumn("rank", F.row_number().over(order) - 1).drop("n"), "ranked")
-        leading = ranked.where(F.col("rank") <= _spare(least)) if near else ranked.where("rank = 0")
-        leads = np.array(sorted(r[0] for r in leading.select("term").distinct().collect()), np.int64)
-        index = postings(rows, terms, leads, window - 1 + (slack if near else 0))
-        posts = index.where("term is not null")
-        parts.append((index.where("term is null").select("doc_id", "row_hash", "n_words"), _matches(posts, ranked), _near(posts, ranked, slack, least) if near else None))
+        leads = np.array(sorted(r[0] for r in ranked.where("rank = 0").select("term").distinct().collect()), np.int64)
+        support = Support.of(_support(ranked, least).collect(), least) if near else None
+        index = postings(rows, terms, leads, window - 1, support, slack)
+        exact, close = (index.where("term is not null").where(F.col("close") == x) for x in (False, True))
+        matches = _matches(exact, ranked)
+        # A place of a one-word window is exact or none.
+        one = matches.where("size = 1").select("doc_id", "row_hash", "item_id", "start", F.lit(1.0).alias("share"))
+        parts.append((index.where("term is null").select("doc_id", "row_hash", "n_words"), matches, _near(close, ranked, slack, least).union(one) if near else None))
     every = lambda i: reduce(DataFrame.unionByName, (p[i] for p in parts))
     return parts[0][0], every(1), every(2) if near else None
 
