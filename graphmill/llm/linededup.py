@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,14 @@ _BLANKS = r"[ \t\r\f\x0B]+"
 
 
 def line_hashes(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """doc_id, row_hash, lines: (h, g) of each line that is not blank, without white space at its ends; h: its hash, g: a second
-    one, by another seed, of lines of long_words words or more (else null)."""
+    """doc_id, row_hash, and of each line that is not blank, without white space at its ends: hashes, and seconds: a second hash,
+    by another seed, of lines of long_words words or more (else null)."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\u000b"))), lambda x: x != "")
     # long_words words have at least that many letters and one blank between each two; the others need not be cut.
     is_long = lambda x: (F.length(x) >= 2 * long_words - 1) & (F.size(F.split(x, _BLANKS)) >= long_words)
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(is_long(x), F.xxhash64(F.lit(17), x)).alias("g")))
-    return row_key(docs).where("text is not null").select("doc_id", "row_hash", hashed.alias("lines"))
+    seconds = F.transform("lines", lambda x: F.when(is_long(x), F.xxhash64(F.lit(17), x)))
+    cut = row_key(docs).where("text is not null").select("doc_id", "row_hash", lines.alias("lines"))
+    return cut.select("doc_id", "row_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), seconds.alias("seconds"))
 
 
 def fingerprints(hashed: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -29,14 +32,15 @@ def fingerprints(hashed: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     choose it, so every run of min_run lines holds a fingerprint (fp, at line `at`, from 0). Long lines are selected
     too. near: the hashes of the lines around, min_run - 1 before and after (null beyond the ends).
     """
-    n, w = F.size("lines"), min_run
-    keyed = F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), (-i).alias("back")))
-    minima = F.when(n >= w, F.transform(F.sequence(F.lit(0), n - w), lambda i: -F.array_min(F.slice("keyed", i + 1, w))["back"])).otherwise(F.array().cast("array<int>"))
-    long_ones = F.filter(F.transform("lines", lambda x, i: F.when(x["g"].isNotNull(), i)), lambda i: i.isNotNull())
-    chosen = hashed.where(n > 0).withColumn("keyed", keyed).withColumn("chosen", F.array_union(minima, long_ones))
-    around = lambda p: F.transform(F.sequence(p - (w - 1), p + (w - 1)), lambda q: F.get("lines.h", q))
-    row = lambda p: F.struct(p.alias("at"), F.get("lines.h", p).alias("fp"), F.get("lines.g", p).alias("g"), around(p).alias("near"))
-    return chosen.select("doc_id", "row_hash", F.inline(F.transform("chosen", row)))
+    n, w = F.size("hashes"), min_run
+    at = lambda i: F.get("hashes", i)
+    # The rightmost smallest of w hashes from i on: each next one takes over if it is no larger.
+    place = lambda i: reduce(lambda best, k: F.when(at(i + k) <= F.array_min(F.slice("hashes", i + 1, k)), i + k).otherwise(best), range(1, w), i)
+    minima = F.when(n >= w, F.transform(F.sequence(F.lit(0), n - w), place)).otherwise(F.array().cast("array<int>")) if w > 1 else F.sequence(F.lit(0), n - 1)
+    long_ones = F.filter(F.transform("seconds", lambda g, i: F.when(g.isNotNull(), i)), lambda i: i.isNotNull())
+    chosen = hashed.where(n > 0).select("*", F.explode(F.array_union(minima, long_ones)).alias("at"))
+    near = F.array(*(at(F.col("at") + k) for k in range(1 - w, w)))
+    return chosen.select("doc_id", "row_hash", "at", at(F.col("at")).alias("fp"), F.get("seconds", F.col("at")).alias("g"), near.alias("near"))
 
 
 def _extension(near: Column, other: Column, at: Column, other_at: Column, step: int, most: int) -> Column:
