@@ -114,10 +114,11 @@ def file_scores(nodes: DataFrame, least: int = 3) -> DataFrame:
     return nodes.groupBy("file_path").agg(F.sum(points).alias("score")).where(F.col("score") >= least)
 
 
-def cooccurrence(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """file_path, n: how many of the names each file has symbols of."""
+def cooccurrence(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """file_path, n: how many of the names (column name; case does not matter) each file has symbols of."""
     low = F.lower("name")
-    return nodes.where(low.isin([n.lower() for n in names])).groupBy("file_path").agg(F.countDistinct(low).alias("n"))
+    wanted = names.select(low.alias("_low")).distinct()
+    return nodes.join(wanted, low == F.col("_low"), "left_semi").groupBy("file_path").agg(F.countDistinct(low).alias("n"))
 
 
 def polymorphic(edges: DataFrame, least: int = 3) -> DataFrame:

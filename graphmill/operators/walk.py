@@ -65,6 +65,9 @@ def paths(moves: DataFrame, roots: DataFrame, hops: int = 6, least: int = 3, lea
         front = settled(front.select(F.array_append("path", F.col("to")).alias("path"), (F.col("marks") + F.coalesce("mark", F.lit(0))).alias("marks")))
         found = found.union(front)
     good = settled(found.where((F.size("path") >= least) & (F.col("marks") >= least_roots)).select("path", F.concat(F.lit(">"), F.array_join("path", ">"), F.lit(">")).alias("line")))
-    top = good.orderBy(F.desc(F.size("path")), "line").limit(50)
-    inner = top.alias("a").join(top.alias("b"), (F.expr("a.line != b.line") & F.expr("instr(b.line, a.line) > 0")), "left_anti")
-    return inner.orderBy(F.desc(F.size("path")), "line").limit(keep).select("path")
+    # All parts of a path are listed (it has at most hops + 1 nodes), so paths within others are found by equality.
+    n = F.size("path")
+    part = lambda i, size: F.struct(F.concat(F.lit(">"), F.array_join(F.slice("path", i, size), ">"), F.lit(">")).alias("line"))
+    parts = good.select(F.inline(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: part(i, size)))))).distinct()
+    whole = good.join(parts, "line", "left_anti")
+    return whole.orderBy(F.desc(F.size("path")), "line").limit(keep).select("path")

@@ -136,14 +136,14 @@ def nodes_by_id(s, d):
     return g(s, d).nodes.where(c("id").isin("method:1", "class:1", "struct:1", "module:1", "class:7")).select("id", "name", "start_line")
 
 
-@query(STAR + "select id, name, start_line from nodes where file_path = 'src/ASIA/CHINA/customer.x'")
+@query(STAR + "select id, name, start_line from nodes where file_path = 'src/ASIA/NATION_2/customer.x'")
 def nodes_in_file(s, d):
-    return g(s, d).nodes.where("file_path = 'src/ASIA/CHINA/customer.x'").select("id", "name", "start_line").orderBy("start_line", "id")
+    return g(s, d).nodes.where("file_path = 'src/ASIA/NATION_2/customer.x'").select("id", "name", "start_line").orderBy("start_line", "id")
 
 
-@query(STAR + "select id, name from nodes where lower(name) = lower('aSiA') or qualified_name = 'EUROPE::FRANCE'")
+@query(STAR + "select id, name from nodes where lower(name) = lower('aSiA') or qualified_name = 'EUROPE::NATION_3'")
 def name_lookups(s, d):
-    return g(s, d).nodes.where((F.lower("name") == "asia") | (c("qualified_name") == "EUROPE::FRANCE")).select("id", "name")
+    return g(s, d).nodes.where((F.lower("name") == "asia") | (c("qualified_name") == "EUROPE::NATION_3")).select("id", "name")
 
 
 @query(STAR + "select id, name from nodes where contains(lower(name), '12') and not starts_with(lower(name), '12') order by length(name), name, id limit 40")
@@ -164,9 +164,9 @@ def induced_edges(s, d):
     return traverse.induced(x.edges, picked, ("calls", "contains"))
 
 
-@query(STAR + "select id, name from nodes where file_path = 'src/EUROPE/FRANCE/supplier.x' and is_exported")
+@query(STAR + "select id, name from nodes where file_path = 'src/EUROPE/NATION_3/supplier.x' and is_exported")
 def exported_in_file(s, d):
-    return g(s, d).nodes.where("file_path = 'src/EUROPE/FRANCE/supplier.x' and is_exported").select("id", "name")
+    return g(s, d).nodes.where("file_path = 'src/EUROPE/NATION_3/supplier.x' and is_exported").select("id", "name")
 
 
 @query(STAR + "select id, qualified_name from nodes where regexp_full_match(qualified_name, 'ASIA::.*::Customer#0.*1') and kind in ('function','method','class','interface','struct','variable','constant')")
@@ -200,9 +200,9 @@ def file_predicates(s, d):
     return star.document_paths(s, d).select(p, P.is_test(p).alias("is_test"), P.is_generated(p).alias("is_generated"), P.is_low_value(p).alias("is_low_value"))
 
 
-@query(STAR + "select id, file_path from nodes where name = 'CHINA' and contains(qualified_name, 'ASIA::CHINA') or name = 'ASIA::CHINA'")
+@query(STAR + "select id, file_path from nodes where name = 'NATION_2' and contains(qualified_name, 'ASIA::NATION_2')")
 def symbol_match(s, d):
-    return g(s, d).nodes.where(P.matches_symbol("ASIA.NATION_8")).select("id", "file_path")
+    return g(s, d).nodes.where(P.matches_symbol("ASIA.NATION_2")).select("id", "file_path")
 
 
 # ---- joins -----------------------------------------------------------------------------------------
@@ -220,10 +220,10 @@ def dominant_file(s, d):
 
 
 @query(STAR + """, rows as (select distinct e.source as route, b.name as handler, b.file_path, b.start_line as handler_line from edges e join nodes a on e.source = a.id join nodes b on e.target = b.id
-where e.kind in ('calls', 'references') and a.kind = 'method' and a.start_line % 10 = 0 and b.kind in ('method', 'class', 'interface', 'struct')) select * from rows order by file_path, handler_line, route limit 50""")
+where e.kind in ('calls', 'references') and a.kind = 'method' and b.kind in ('method', 'class', 'interface', 'struct')) select * from rows order by file_path, handler_line, route limit 50""")
 def routing_manifest(s, d):
     x = g(s, d)
-    return analytics.routing_manifest(x, x.nodes.where("kind = 'method' and start_line % 10 = 0").select("id"))
+    return analytics.routing_manifest(x, x.nodes.where("kind = 'method'").select("id"))
 
 
 @query(STAR + FILE_GRAPH + "select source_file, target_file from file_edges")
@@ -236,11 +236,11 @@ def file_dependents(s, d):
     return traverse.file_graph(g(s, d)).where("target_file = 'src/parts/Brand#11.x'").select(c("source_file").alias("dependent"))
 
 
-@query(STAR + "select e.source, e.kind, b.kind as target_kind, b.name as target_name, e.line from edges e join nodes a on e.source = a.id join nodes b on e.target = b.id where b.file_path = 'src/ASIA/CHINA/supplier.x' and a.file_path <> b.file_path")
+@query(STAR + "select e.source, e.kind, b.kind as target_kind, b.name as target_name, e.line from edges e join nodes a on e.source = a.id join nodes b on e.target = b.id where b.file_path = 'src/ASIA/NATION_2/supplier.x' and a.file_path <> b.file_path")
 def cross_file_in_edges(s, d):
     x = g(s, d)
-    b = x.nodes.where("file_path = 'src/ASIA/CHINA/supplier.x'").select(c("id").alias("target"), c("kind").alias("target_kind"), c("name").alias("target_name"))
-    a = x.nodes.where("file_path != 'src/ASIA/CHINA/supplier.x'").select(c("id").alias("source"))
+    b = x.nodes.where("file_path = 'src/ASIA/NATION_2/supplier.x'").select(c("id").alias("target"), c("kind").alias("target_kind"), c("name").alias("target_name"))
+    a = x.nodes.where("file_path != 'src/ASIA/NATION_2/supplier.x'").select(c("id").alias("source"))
     return x.edges.join(b, "target").join(a, "source", "left_semi").select("source", "kind", "target_kind", "target_name", "line")
 
 
@@ -262,24 +262,24 @@ def enclosing_scope(s, d):
     return intervals.enclosing(points, ranges, "k", "at").select("id", "scope")
 
 
-@query("""with want as (select distinct l_orderkey as wanted, l_suppkey % 7 as item from lineitem where l_orderkey % 50 = 1), have as (select distinct l_partkey as owner, l_suppkey % 7 as item from lineitem where l_partkey <= 60),
+@query("""with want as (select distinct l_orderkey as wanted, l_partkey as item from lineitem), have as (select distinct l_suppkey as owner, l_partkey as item from lineitem),
 sizes as (select wanted, count(*) as size from want group by 1) select h.owner, w.wanted from have h join want w using (item) join sizes z on z.wanted = w.wanted group by h.owner, w.wanted, z.size having count(*) = z.size""")
 def interface_satisfaction(s, d):
     lines = t(s, d, "lineitem")
-    want = lines.where("l_orderkey % 50 = 1").select(c("l_orderkey").alias("wanted"), (c("l_suppkey") % 7).alias("item"))
-    have = lines.where("l_partkey <= 60").select(c("l_partkey").alias("owner"), (c("l_suppkey") % 7).alias("item"))
+    want = lines.select(c("l_orderkey").alias("wanted"), c("l_partkey").alias("item"))
+    have = lines.select(c("l_suppkey").alias("owner"), c("l_partkey").alias("item"))
     return resolve.covering(have, want)
 
 
-@query("""with members as (select distinct l_suppkey as owner, l_partkey % 40 as name, 's' || l_suppkey || '.' || (l_partkey % 40) as member from lineitem), types as (select a.s_suppkey as sub, b.s_suppkey as super from supplier a join supplier b on a.s_nationkey = b.s_nationkey and b.s_suppkey = a.s_suppkey - 25)
-select u.member as source, v.member as target from types t join members u on u.owner = t.super join members v on v.owner = t.sub and v.name = u.name qualify row_number() over (partition by t.sub, t.super order by u.name, u.member, v.member) <= 10""")
+@query("""with members as (select distinct l_suppkey as owner, l_partkey % 100 as name, 's' || l_suppkey || '.' || (l_partkey % 100) as member from lineitem), types as (select a.s_suppkey as sub, b.s_suppkey as super from supplier a join supplier b on a.s_nationkey = b.s_nationkey and b.s_suppkey = a.s_suppkey - 25)
+select u.member as source, v.member as target from types t join members u on u.owner = t.super join members v on v.owner = t.sub and v.name = u.name qualify row_number() over (partition by t.sub, t.super order by u.name, u.member, v.member) <= 40""")
 def override_pairs(s, d):
     lines, sup = t(s, d, "lineitem"), t(s, d, "supplier")
-    name = c("l_partkey") % 40
+    name = c("l_partkey") % 100
     members = lines.select(c("l_suppkey").alias("owner"), name.alias("name"), F.concat(F.lit("s"), "l_suppkey", F.lit("."), name).alias("member")).distinct()
     a, b = sup.select(c("s_suppkey").alias("sub"), c("s_nationkey").alias("n")), sup.select(c("s_suppkey").alias("super"), c("s_nationkey").alias("n"))
     types = a.withColumn("super", c("sub") - 25).join(b, ["super", "n"]).select("sub", "super")
-    return resolve.overriding(types, members, 10)
+    return resolve.overriding(types, members)
 
 
 @query("""with a as (select distinct cast(json_extract(props, '$.k') as bigint) as key, user_id as source from events where event_type = 'click'), b as (select distinct cast(json_extract(props, '$.k') as bigint) as key, user_id as target from events where event_type = 'purchase'),
@@ -295,11 +295,11 @@ def same_name_pairs(s, d):
     return resolve.same_name_elsewhere(n, c("p_size") % 2 == 0)
 
 
-@query("""with cand as (select p_name as name, min(p_partkey) as target from part group by 1 having count(*) = 1) select o_orderkey as ref_id, target from orders join part on p_partkey = 1 + o_orderkey % 500 join cand on cand.name = p_name""")
+@query("""with named as (select p_partkey, p_name || ' ' || p_brand as name from part), cand as (select name, min(p_partkey) as target from named group by 1 having count(*) = 1) select l_orderkey as ref_id, l_linenumber as line, target from lineitem join named on p_partkey = l_partkey join cand using (name)""")
 def unique_or_drop(s, d):
-    names = t(s, d, "part").select("p_partkey", c("p_name").alias("name"))
-    refs = t(s, d, "orders").select(c("o_orderkey").alias("ref_id"), (1 + c("o_orderkey") % 500).alias("p_partkey")).join(names, "p_partkey")
-    return resolve.unique_match(refs, names.select("name", c("p_partkey").alias("target")), "name").select("ref_id", "target")
+    names = t(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    refs = t(s, d, "lineitem").select(c("l_orderkey").alias("ref_id"), c("l_linenumber").alias("line"), c("l_partkey").alias("p_partkey")).join(names, "p_partkey")
+    return resolve.unique_match(refs, names.select("name", c("p_partkey").alias("target")), "name").select("ref_id", "line", "target")
 
 
 # ---- counts and rankings ---------------------------------------------------------------------------
@@ -369,11 +369,10 @@ def file_scores(s, d):
     return analytics.file_scores(n.select("file_path", (c("is_exported") & (c("start_line") % 100 == 0)).alias("is_named"), (c("start_line") % 10 == 0).alias("is_entry"), (c("start_line") % 3 == 0).alias("is_connected")))
 
 
-@query("select p_brand as file_path, count(distinct lower(p_name)) as n from part where lower(p_name) in (select lower(p_name) from part where p_partkey <= 30) group by 1")
+@query("select p_brand as file_path, count(distinct lower(p_name)) as n from part group by 1")
 def name_cooccurrence(s, d):
     p = t(s, d, "part")
-    names = [r[0] for r in p.where("p_partkey <= 30").select("p_name").distinct().collect()]
-    return analytics.cooccurrence(p.select(c("p_brand").alias("file_path"), c("p_name").alias("name")), names)
+    return analytics.cooccurrence(p.select(c("p_brand").alias("file_path"), c("p_name").alias("name")), p.select(c("p_name").alias("name")))
 
 
 @query("select 'nation:' || c_nationkey as id, count(distinct c_custkey) as n from customer group by 1 having n >= 3")
@@ -381,9 +380,9 @@ def polymorphic_types(s, d):
     return analytics.polymorphic(t(s, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("source"), F.concat(F.lit("nation:"), "c_nationkey").alias("target"), F.lit("implements").alias("kind")))
 
 
-@query("with top as (select source as file, count(*) as n from documents group by 1 order by n desc, file limit 20), ranked as (select file, n, cast(sum(n) over () as bigint) as total, row_number() over (order by n desc, file) as nth from top) select file, n, total from ranked where nth = 1 and n >= 3 and n / total >= 0.01")
+@query("with top as (select lang as file, count(*) as n from documents group by 1 order by n desc, file limit 20), ranked as (select file, n, cast(sum(n) over () as bigint) as total, row_number() over (order by n desc, file) as nth from top) select file, n, total from ranked where nth = 1 and n >= 3 and n / total >= 0.3")
 def top_route_file(s, d):
-    return analytics.top_share(analytics.counts(t(s, d, "documents"), "source").withColumnRenamed("source", "file"), "file", share=0.01)
+    return analytics.top_share(analytics.counts(t(s, d, "documents"), "lang").withColumnRenamed("lang", "file"), "file")
 
 
 @query(STAR + "select file_path, qualified_name, count(*) as n from nodes where kind = 'interface' and contains(file_path, 'Brand#1') group by 1, 2")
@@ -498,13 +497,13 @@ def node_context(s, d):
     return traverse.context(g(s, d), "method:7")
 
 
-@query("""with recursive up as (select 'c' || c_custkey as id, 'c' || c_custkey as at, 0 as depth from customer where c_custkey <= 50 union all
+@query("""with recursive up as (select 'c' || c_custkey as id, 'c' || c_custkey as at, 0 as depth from customer union all
 select u.id, case when starts_with(u.at, 'c') then 'n' || (select c_nationkey from customer where 'c' || c_custkey = u.at) else 'r' || (select n_regionkey from nation where 'n' || n_nationkey = u.at) end, u.depth + 1 from up u where not starts_with(u.at, 'r')),
 members as (select 'n' || n_nationkey as owner, n_name as member from nation where n_nationkey % 2 = 0 union all select 'r' || r_regionkey, r_name from region)
 select id, 'run' as name, member as found, depth from (select u.id, m.member, u.depth, row_number() over (partition by u.id order by u.depth, m.member) as nth from up u join members m on m.owner = u.at) where nth = 1""")
 def supertype_member(s, d):
     members = t(s, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("owner"), c("n_name").alias("member")).union(t(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey"), "r_name"))
-    start = t(s, d, "customer").where("c_custkey <= 50").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("run").alias("name"))
+    start = t(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("run").alias("name"))
     return traverse.first_match_above(_types(s, d).edges, members.withColumn("name", F.lit("run")), start)
 
 
@@ -533,11 +532,12 @@ def random_walk_mass(s, d):
     return _event_walk(s, d, 25).agg(F.round(F.sum("mass"), 9).alias("mass"))
 
 
-@query(STAR + """, calls as (select distinct source as at, target as to_id from edges where kind = 'calls'), named as (select id from nodes where id in ('method:1', 'method:2', 'method:3', 'method:4', 'interface:1', 'interface:2', 'method:11', 'method:12')),
-step as (select id as seed, id, 0 as depth, 0 as streak from named union select s.seed, x.to_id, s.depth + 1, case when x.to_id in (select id from named) then 0 else s.streak + 1 end from step s join calls x on x.at = s.id where s.depth < 6 and (x.to_id in (select id from named) or s.streak < 1))
+@query(STAR + """, calls as (select distinct source as at, target as to_id from edges where kind = 'calls'), named as (select id from nodes where contains(qualified_name, '::Customer#000000001::') or id in ('interface:1', 'interface:2', 'interface:3')),
+step as (select id as seed, id, 0 as depth, 0 as streak from (select id from named order by id limit 8) union select s.seed, x.to_id, s.depth + 1, case when x.to_id in (select id from named) then 0 else s.streak + 1 end from step s join calls x on x.at = s.id where s.depth < 6 and (x.to_id in (select id from named) or s.streak < 1))
 select seed, id, min(depth) as depth from step where id in (select id from named) and depth > 0 and id <> seed group by 1, 2""")
 def flow_chain(s, d):
-    return walk.flow(g(s, d).edges, traverse.of(g(s, d), ["method:1", "method:2", "method:3", "method:4", "interface:1", "interface:2", "method:11", "method:12"]))
+    x = g(s, d)
+    return walk.flow(x.edges, x.nodes.where(c("qualified_name").contains("::Customer#000000001::") | c("id").isin("interface:1", "interface:2", "interface:3")).select("id"))
 
 
 @query(None)
@@ -560,12 +560,11 @@ def fuzzy_names(s, d):
     return search.fuzzy(g(s, d).nodes.where("kind = 'module'"), "azia").withColumn("score", c("score").cast("double"))
 
 
-@query(STAR + """, hits as (select id, lower(name) as name, file_path from nodes where lower(name) in (select lower(p_name) from part where p_partkey <= 5)), rare as (select name from hits group by 1 having count(distinct file_path) < 10),
+@query(STAR + """, hits as (select id, lower(name) as name, file_path from nodes where lower(name) in ('red widget', 'blue bolt', 'small ring', 'nation_3', 'order_1')), rare as (select name from hits group by 1 having count(distinct file_path) < 10),
 scored as (select id, name, 1.0 + case when file_path in (select file_path from hits where name in (select name from rare)) then 20 else 0 end as score from hits),
-top as (select * from scored qualify row_number() over (partition by name order by score desc, id) <= greatest(8, (select ceil(50.0 / count(*)) from part where p_partkey <= 5))) select id, name, cast(score as double) as score from top order by score desc, id limit 50""")
+top as (select * from scored qualify row_number() over (partition by name order by score desc, id) <= 10) select id, name, cast(score as double) as score from top order by score desc, id limit 50""")
 def colocation_search(s, d):
-    names = [r[0] for r in t(s, d, "part").where("p_partkey <= 5").select("p_name").collect()]
-    return search.exact_names(g(s, d).nodes, names)
+    return search.exact_names(g(s, d).nodes, ["red widget", "blue bolt", "small ring", "nation_3", "order_1"])
 
 
 @query("select kind, n, bonus from (select kind, count(*) as n, case kind when 'module' then 4 when 'namespace' then 4 when 'class' then 8 when 'struct' then 6 when 'interface' then 9 else 10 end as bonus from (" + STAR + " select kind from nodes) group by 1)")
@@ -645,7 +644,7 @@ def running_budget(s, d):
     return intervals.within_budget(docs, "source", ["n_chars", "doc_id"], "n_chars", 15000).select("doc_id", "source", "used")
 
 
-@query(None)
+@query("""select doc_id, source, n_chars from (select doc_id, source, n_chars, sum(n_chars) over w as used, row_number() over w as nth from documents window w as (partition by source order by n_chars, doc_id)) where used <= 15000 or nth = 1""")
 def greedy_budget(s, d):
     docs = t(s, d, "documents").select("doc_id", "source", "n_chars")
     return intervals.greedy_budget(docs, "source", ["n_chars", "doc_id"], "n_chars", 15000)
@@ -682,7 +681,7 @@ def path_proximity(s, d):
 
 _CANDIDATES = """
 with nodes as (select 'p' || p_partkey as id, split_part(p_name, ' ', 1) as name, 'src/' || p_brand || '/' || p_type || '.x' as file_path, case when p_size % 2 = 0 then 'go' else 'java' end as language, case when p_size % 3 = 0 then 'method' else 'class' end as kind, p_size as start_line, p_size > 25 as is_exported from part),
-refs as (select p_partkey as ref_id, split_part(p_name, ' ', 1) as ref_name, 'src/' || p_brand || '/main.x' as ref_file, 10 as ref_line, 'go' as ref_language from part where p_partkey % 7 = 0),
+refs as (select p_partkey as ref_id, split_part(p_name, ' ', 1) as ref_name, 'src/' || p_brand || '/main.x' as ref_file, 10 as ref_line, 'go' as ref_language from part),
 crowd as (select name, count(*) as n from nodes group by 1 having n <= 500),
 scored as (select r.ref_id, x.id as target, w.n, (case when x.language = r.ref_language then 50 else -80 end) + (case when split_part(x.file_path, '/', 2) = split_part(r.ref_file, '/', 2) then 30 else 15 end) + (case when x.kind = 'method' then 25 else 0 end) + (case when x.is_exported then 10 else 0 end) as score,
   (case when split_part(x.file_path, '/', 2) = split_part(r.ref_file, '/', 2) then 30 else 15 end) as near, x.language = r.ref_language as same from refs r join nodes x on x.name = r.ref_name join crowd w on w.name = x.name),
@@ -694,7 +693,7 @@ def _candidates(s, d):
     p = t(s, d, "part")
     name = F.substring_index("p_name", " ", 1)
     nodes = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), name.alias("name"), F.concat(F.lit("src/"), "p_brand", F.lit("/"), "p_type", F.lit(".x")).alias("file_path"), F.when(c("p_size") % 2 == 0, "go").otherwise("java").alias("language"), F.when(c("p_size") % 3 == 0, "method").otherwise("class").alias("kind"), c("p_size").alias("start_line"), (c("p_size") > 25).alias("is_exported"))
-    refs = p.where("p_partkey % 7 = 0").select(c("p_partkey").alias("ref_id"), name.alias("ref_name"), F.lit("calls").alias("ref_kind"), F.concat(F.lit("src/"), "p_brand", F.lit("/main.x")).alias("ref_file"), F.lit(10).alias("ref_line"), F.lit("go").alias("ref_language"))
+    refs = p.select(c("p_partkey").alias("ref_id"), name.alias("ref_name"), F.lit("calls").alias("ref_kind"), F.concat(F.lit("src/"), "p_brand", F.lit("/main.x")).alias("ref_file"), F.lit(10).alias("ref_line"), F.lit("go").alias("ref_language"))
     return nodes, refs
 
 
@@ -704,11 +703,14 @@ def best_candidate(s, d):
     return resolve.by_name(refs, nodes).withColumn("confidence", c("confidence").cast("double"))
 
 
-@query(PAGE_REFS + """, cand as (select lower(split_part(p_name, ' ', 1)) as word, min(p_partkey) as target, count(*) as n from part group by 1), r as (select row_number() over (order by page_id, position) as ref_id, name from named),
+_CASCADE = PAGE_REFS + """, cand as (select lower(split_part(p_name, ' ', 1)) as word, min(p_partkey) as target, count(*) as n from part group by 1), r as (select page_id * 1000000 + position as ref_id, name from named),
 hits as (select ref_id, target, case when n = 1 then 0.9 else 0.4 end as confidence, 0 as rank, 'exact' as resolved_by from r join cand on word = lower(name) union all select ref_id, min(n_nationkey), 0.5, 1, 'prefix' from r join nation on left(lower(n_name), 1) = left(lower(name), 1) group by 1)
-select ref_id, target, confidence, resolved_by from hits qualify row_number() over (partition by ref_id order by confidence desc, rank, target) = 1""")
+select ref_id, target, confidence, resolved_by from hits qualify row_number() over (partition by ref_id order by confidence desc, rank, target) = 1"""
+
+
+@query(_CASCADE)
 def resolve_cascade(s, d):
-    refs = star.page_references(s, d).withColumn("ref_id", F.row_number().over(Window.orderBy("page_id", "position"))).select("ref_id", F.lower("name").alias("name"))
+    refs = star.page_references(s, d).withColumn("ref_id", c("page_id") * 1_000_000 + c("position")).select("ref_id", F.lower("name").alias("name"))
     words = t(s, d, "part").groupBy(F.lower(F.substring_index("p_name", " ", 1)).alias("name")).agg(F.min("p_partkey").alias("target"), F.count("*").alias("n"))
     exact = refs.join(words, "name").select("ref_id", "target", F.when(c("n") == 1, 0.9).otherwise(0.4).alias("confidence"))
     nations = t(s, d, "nation").groupBy(F.left(F.lower("n_name"), F.lit(1)).alias("first")).agg(F.min("n_nationkey").cast("long").alias("target"))
@@ -716,10 +718,9 @@ def resolve_cascade(s, d):
     return resolve.first_strategy(("exact", exact), ("prefix", prefix))
 
 
-@query("with hits as (select p_partkey % 4 as m from part) select case m when 0 then 'exact' when 1 then 'import' when 2 then 'framework' else 'fuzzy' end as resolved_by, count(*) as n from hits group by 1")
+@query("select resolved_by, count(*) as n from (" + _CASCADE + ") group by 1")
 def resolution_stats(s, d):
-    m = c("p_partkey") % 4
-    return analytics.counts(t(s, d, "part").select(F.when(m == 0, "exact").when(m == 1, "import").when(m == 2, "framework").otherwise("fuzzy").alias("resolved_by")), "resolved_by")
+    return analytics.counts(resolve_cascade(s, d), "resolved_by")
 
 
 @query("select 'n' || n_nationkey as source, case when n_regionkey = 1 then 'i' else 'c' end || n_regionkey as target, case when n_nationkey % 2 = 0 then (case when n_regionkey = 1 then 'implements' else 'extends' end) else (case when n_regionkey = 1 then 'calls' else 'instantiates' end) end as kind from nation")
@@ -731,9 +732,9 @@ def edge_promotion(s, d):
     return resolve.promoted(edges, nodes)
 
 
-@query(r"""select 'page' || page_id as file_path, 1 as line, key from (select page_id, unnest(regexp_extract_all(html, 'class="([a-z]+)"', 1)) as key from pages)""")
+@query(r"""select 'page' || page_id as file_path, cast(line as int) as line, unnest(regexp_extract_all(part, 'class="([a-z]+)"', 1)) as key from (select page_id, unnest(string_split(html, chr(10))) as part, generate_subscripts(string_split(html, chr(10)), 1) as line from pages)""")
 def pattern_extraction(s, d):
-    pages = t(s, d, "pages").select(F.concat(F.lit("page"), "page_id").alias("file_path"), F.regexp_replace("html", "\n", " ").alias("text"))
+    pages = t(s, d, "pages").select(F.concat(F.lit("page"), "page_id").alias("file_path"), c("html").alias("text"))
     return resolve.calls_in_text(pages, 'class="([a-z]+)"')
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.schema import EDGE, FILE, NODE, Graph, conform
@@ -13,11 +13,18 @@ from graphmill.schema import EDGE, FILE, NODE, Graph, conform
 BROADCAST_ROWS = 200_000
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a session that names none must run on one machine, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or "file:///tmp/checkpoints").rstrip("/")
+
+
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """Written to the folder that the cluster shares, and read back: the plan starts anew and survives lost executors."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/graphmill-{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/graphmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.operators.intervals import debounced
+from graphmill.store import shared
 
 
 def reconcile(disk: DataFrame, index: DataFrame, key: str = "path", hash: str = "hash") -> DataFrame:
@@ -45,10 +46,11 @@ def bursts(stream: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def run_feed(spark: SparkSession, source: DataFrame, gap: str, late: str, name: str) -> DataFrame:
-    """All bursts of what the source holds now, through a streaming query into a table in memory (for feeds that one driver watches)."""
-    out = bursts(source, gap, late).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.table(name)
+    """All bursts of what the source holds now, through a streaming query into a table in the cluster's shared folder."""
+    done, folder = bursts(source, gap, late), f"{shared(spark)}/graphmill-{name}"
+    sink = done.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{folder}/rows")
 
 
 def backoff(failures: int, debounce_ms: int = 2000, most_ms: int = 30_000, give_up: int = 5) -> int | None:
