@@ -21,8 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share, as the cluster names it; only a session on one machine may leave it out."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or DEFAULT_SHARED).rstrip("/")
 
 
 #: Shuffle files of an execution go when it ends, not when the driver's garbage is next collected.
@@ -76,14 +79,22 @@ def real_id(column: str = "doc_id") -> F.Column:
     return F.nullif(F.col(column), F.lit(NULL_ID)).alias(column)
 
 
+#: Rows that travel to a Python worker at a time, where the session has not chosen a number of its own.
+BATCH_ROWS, _ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict[str, object]]], schema: str) -> DataFrame:
-    """df.mapInArrow where f gives columns (by name, in any order) for each batch."""
+    """df.mapInArrow where f gives columns (by name, in any order) for each batch. What a batch took is given back after it,
+    since workers live on beside the executor's heap."""
+    if df.sparkSession.conf.get(_ROWS_KEY) == "10000":
+        df.sparkSession.conf.set(_ROWS_KEY, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 for cols in f(b):
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in cols.values()], names=list(cols))
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

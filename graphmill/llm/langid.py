@@ -202,15 +202,17 @@ def fit(texts: list[str], langs: list[str], slots: int = 1 << 16, lexicon_words:
 
 
 def sample(docs: DataFrame, per_label: int) -> DataFrame:
-    """At most per_label labelled documents of each language, by the order of a hash of doc_id.
+    """At most per_label labelled documents of each language, by the order of a hash of doc_id; of rows alike in doc_id,
+    language and text one counts.
 
-    The choice looks at ids and languages only; Spark keeps per_label rows of a language in each
+    The choice looks at ids, languages and hashes of texts only; Spark keeps per_label rows of a language in each
     task before it shuffles them, so a language that holds most rows is no burden.
     """
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit("crf")).alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = ids.withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id").distinct()
-    return docs.where("lang is not null and text is not null").join(F.broadcast(picked), "doc_id")
+    rows = docs.where("lang is not null and text is not null and doc_id is not null")
+    ids = rows.select("doc_id", "lang", F.xxhash64("text").alias("row_hash"), F.xxhash64("doc_id", F.lit("crf")).alias("h"))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "doc_id", "row_hash"))
+    picked = ids.withColumn("rank", rank).where(F.col("rank") <= per_label).select("doc_id", "lang", "row_hash").distinct()
+    return rows.withColumn("row_hash", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "row_hash"]).dropDuplicates(["doc_id", "lang", "row_hash"])
 
 
 def train(docs: DataFrame, per_label: int = 300, longest: int = 20_000, **options) -> Model:
@@ -224,7 +226,7 @@ def train(docs: DataFrame, per_label: int = 300, longest: int = 20_000, **option
 class Labels:
     """Emission scores of words already seen, in one worker."""
 
-    def __init__(self, model: Model, memory: int = 400_000):
+    def __init__(self, model: Model, memory: int = 150_000):
         self.model, self.memory = model, memory
         self.index: dict[int, int] = {}
         self.scores = np.zeros((1024, len(model.labels)), np.float32)
