@@ -226,7 +226,7 @@ def train(docs: DataFrame, per_label: int = 300, longest: int = 20_000, **option
 class Labels:
     """Emission scores of words already seen, in one worker."""
 
-    def __init__(self, model: Model, memory: int = 150_000):
+    def __init__(self, model: Model, memory: int = 60_000):
         self.model, self.memory = model, memory
         self.index: dict[int, int] = {}
         self.scores = np.zeros((1024, len(model.labels)), np.float32)

@@ -34,7 +34,7 @@ class RunTokenizer:
     are ids of the text. path: the tokenizer's JSON; memory: cuts remembered by each worker.
     """
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
