@@ -86,5 +86,6 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")
         return pdf
 
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # By place in the written table: rows alike in all columns are dealt apart too, so no group grows with repeats.
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(place, schema)

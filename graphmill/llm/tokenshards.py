@@ -17,6 +17,8 @@ from graphmill.llm.tokens import default_path, tokenizer
 
 #: Tokens of a sequence, sequences of a shard (8 MB at two bytes a token), and the file names of shards.
 SEQUENCE, SHARD_SEQUENCES, NAME = 2048, 2048, "shard-{:08d}.bin"
+#: Shards that one task writes.
+TASK_SHARDS = 8
 #: Reading tasks (16 bytes each) whose first numbers are broadcast; beyond that they are joined by shuffle.
 BROADCAST_TASKS = 1_000_000
 
@@ -77,6 +79,8 @@ def _sequences(docs: DataFrame, length: int, path: str, dtype: str) -> DataFrame
             ids = np.zeros(n * length, np.uint32)
             used = min(len(rest), n * length)
             ids[:used] = rest[:used]
+            if used and int(ids.max()) > np.iinfo(np.dtype(dtype)).max:
+                raise ValueError(f"id {int(ids.max())} does not fit {dtype}")
             raw = ids.astype(dtype).tobytes()
             payload = [raw[i * length * width : (i + 1) * length * width] for i in range(n)]
             at = np.array([o[0] for o in owners], np.int64)
@@ -148,7 +152,7 @@ def materialise(docs: DataFrame, key: int = 20240501, length: int = SEQUENCE, pe
     docs: doc_id, text and any other columns; a null or empty text is the id 0 alone; repeated rows are written once
     each; a null doc_id stays null; an empty table gives no shard. The order is the permutation of the sequences'
     numbers under the key: the same input files, split sizes and key give the same shards. dtype: `<u2` holds ids below
-    65,536, `<u4` any. Slot s is in file s // per_shard at byte (s % per_shard) * stride, which is all a reader needs
+    65,536 (a larger one is an error), `<u4` any. Slot s is in file s // per_shard at byte (s % per_shard) * stride, which is all a reader needs
     to go on after a stop. folder: shared by all executors (by default within the session's checkpoint folder).
 
     Shuffle: each payload once, to the task that writes its range of slots.
@@ -174,7 +178,7 @@ def materialise(docs: DataFrame, key: int = 20240501, length: int = SEQUENCE, pe
     stride = length * np.dtype(dtype).itemsize
     shards = max(1, -(-n // per_shard))
     placed = map_batches(located.select("payload", number), place, "payload binary, number long, slot long")
-    ranged = placed.select("slot", "payload", F.floor(F.col("slot") / per_shard).alias("shard")).repartitionByRange(min(shards, max(1, 4 * spark.sparkContext.defaultParallelism)) if shards < 1000 else shards // 8, "shard")
+    ranged = placed.select("slot", "payload", F.floor(F.col("slot") / per_shard).alias("shard")).repartitionByRange(-(-shards // TASK_SHARDS), "shard")
     manifest = stage(_write(ranged.sortWithinPartitions("slot").select("slot", "payload"), folder, per_shard), "manifest")
     sequences = numbered.select("slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), (F.col("slot") % per_shard * stride).alias("byte_offset"), "number", "first_doc_id", "n_docs", "n_tokens", "ids_crc32")
     return Shards(sequences, manifest, folder, stride, n)

@@ -7,6 +7,7 @@ from html import unescape
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill.llm import ann, decontaminate, html, langid, linededup, neardup, packing, phrases, registry, secrets, tokenshards
 from graphmill.llm.tokens import default_path
@@ -315,6 +316,18 @@ def test_shards(spark, sf, edges, documents, tmp_path):
     assert [x.tolist() for x in tokenshards.read(made.folder, 70, 9, 64, 50)] == [x.tolist() for x in stored[70:79]]
 
 
+def test_ids_that_do_not_fit_are_refused(spark):
+    docs = spark.createDataFrame([(1, "some words of text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        tokenshards.materialise(docs, dtype="<u1")
+
+
+def test_repeated_rows_are_packed_in_bounded_groups(spark):
+    docs = spark.createDataFrame([(7, "one two three")] * 600, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, 2048, group_pieces=100).select(F.shiftright("sequence_id", 32).alias("g")).groupBy("g").count().collect()
+    assert len(got) == 6 and max(r["count"] for r in got) < 200
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
         f = tokenshards.Feistel(n, 99)
