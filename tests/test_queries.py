@@ -59,3 +59,10 @@ def test_entry_without_the_corpus_folders(tmp_path):
         code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
         done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / copy, env=os.environ | {"PYTHONPATH": str(tmp_path / copy)}, capture_output=True, text=True, timeout=120)
         assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("word, want", [("running", {"runn", "runne", "run"}), ("Cities", {"city"}), ("caches", {"cach"}), ("parsed", {"pars", "parse"}), ("agreed", set()), ("parser", {"pars", "parse"}), ("section", {"sect"}), ("class", set()), ("used", set())])
+def test_stems(word, want):
+    from graphmill.functions.text import stems
+
+    assert stems(word) == want
