@@ -19,6 +19,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Words of one chain; longer texts are several chains, all of which count.
 CHAIN = 256
+#: Bytes of text, and words not seen before, that one step works on: both bound a worker's arrays, neither changes a result.
+STEP_BYTES, STEP_WORDS = 1 << 18, 4096
 
 
 class Model(NamedTuple):
@@ -75,12 +77,15 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
 
 def emissions(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Score of each label for each word, without its neighbours; the mean weight of its features times their root."""
-    slots, n = features(data, starts, ends, hashes, model.lexicon, len(model.weights))
-    w = model.weights[slots]
-    sums = np.zeros((len(w) + 1, w.shape[1]))
-    np.cumsum(w, axis=0, out=sums[1:])
-    at = np.concatenate([[0], np.cumsum(n)])
-    return (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(n, 1))[:, None]
+    out = np.empty((len(starts), len(model.labels)))
+    for a in range(0, len(starts), STEP_WORDS):
+        z = a + STEP_WORDS
+        slots, n = features(data, starts[a:z], ends[a:z], hashes[a:z], model.lexicon, len(model.weights))
+        sums = np.zeros((len(slots) + 1, len(model.labels)))
+        np.cumsum(model.weights[slots], axis=0, out=sums[1:])
+        at = np.concatenate([[0], np.cumsum(n)])
+        out[a:z] = (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(n, 1))[:, None]
+    return out
 
 
 def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +135,7 @@ def forward_backward(e: np.ndarray, first: np.ndarray, size: np.ndarray, transit
 
 def word_arrays(texts: pa.Array):
     """(first row, rows' numbers of words, bytes, starts, ends, hashes) for blocks of rows."""
-    for at, _, data, offsets in text_blocks(texts):
+    for at, _, data, offsets in text_blocks(texts, STEP_BYTES):
         data = lower_latin(data)
         starts, ends, rows = word_bounds(data, offsets, _SEPARATOR)
         yield at, np.diff(rows), data, starts, ends, word_hashes(data, starts, ends)
