@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions.predicates import is_test, matches_symbol, name_glob, under
-from graphmill.operators import analytics, resolve, search, traverse, walk
+from graphmill.operators import analytics, names, resolve, search, traverse, walk
 from graphmill.schema import Graph
 from graphmill.sources import code
 
@@ -19,15 +21,21 @@ class CodeGraph:
         self.graph = graph
 
     @classmethod
-    def index(cls, spark: SparkSession, root: str, ignore: list[str] | None = None) -> CodeGraph:
-        """Scan, extract and resolve a folder of source files."""
+    def index(cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = ()) -> CodeGraph:
+        """Scan, extract and resolve a folder of source files. resolvers: further strategies by name, such as those of a framework."""
         extracted = store.settled(code.extract(code.scan(spark, root, ignore)), "extracted")
         graph, refs = code.graph_of(extracted)
         refs = store.settled(refs, "refs")
         nodes = store.settled(graph.nodes, "nodes")
-        found = resolve.by_name(refs.where("ref_kind != 'imports'"), nodes.where("kind != 'file'"))
-        made = found.join(refs, "ref_id").select(F.col("from_id").alias("source"), "target", F.col("ref_kind").alias("kind"), F.col("ref_line").alias("line")).where("source != target")
-        edges = graph.edges.select("source", "target", "kind", "line").union(resolve.promoted(made, nodes))
+        imports = store.settled(code.imports_of(extracted), "imports")
+        asked = store.settled(names.possible(names.without_built_ins(refs, nodes), nodes, imports), "asked")
+        plugins = [("import", lambda r, n: names.by_import(r, n, imports)), *resolvers]
+        found = names.cascade(asked, nodes, plugins=plugins)
+        made = found.join(refs, "ref_id").where("from_id != target").select(
+            F.col("from_id").alias("source"), "target", F.col("ref_kind").alias("kind"), F.col("ref_line").alias("line"),
+            F.create_map(F.lit("confidence"), F.col("confidence").cast("string"), F.lit("resolvedBy"), F.col("resolved_by")).alias("metadata"),
+        )
+        edges = graph.edges.select("source", "target", "kind", "line").withColumn("metadata", F.lit(None).cast("map<string,string>")).unionByName(resolve.promoted(made, nodes))
         return cls(Graph(nodes, store.settled(edges, "edges")))
 
     @classmethod

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import posixpath
 import fnmatch
 import re
 from collections.abc import Iterator
@@ -93,16 +94,61 @@ def _python(path: str, text: str) -> Iterator[tuple]:
                             yield "ref", "extends", name, None, x.lineno, None, qualified, None, None
                 yield from visit(x, qualified, isinstance(x, ast.ClassDef))
             else:
-                if isinstance(x, ast.Call) and (name := _called(x.func)):
+                if isinstance(x, ast.Call) and (name := _received(x.func)):
                     yield "ref", "calls", name, None, x.lineno, None, owner, None, None
                 elif isinstance(x, (ast.Import, ast.ImportFrom)):
                     for a in x.names:
-                        yield "ref", "imports", a.name.rsplit(".", 1)[-1], None, x.lineno, None, owner, None, None
+                        yield "ref", "imports", (a.asname or a.name).rsplit(".", 1)[-1], None, x.lineno, None, owner, None, None
+                        if isinstance(x, ast.Import):
+                            whole = a.name if a.asname else a.name.split(".", 1)[0]
+                            yield "import", None, a.asname or whole, whole.replace(".", "/"), x.lineno, None, None, None, None
+                        elif a.name != "*":
+                            yield "import", None, a.asname or a.name, _module(path, x.level, x.module), x.lineno, None, a.name, None, None
                 yield from visit(x, owner, in_class)
 
     yield from visit(tree, "", False)
 
 
+def _module(path: str, level: int, module: str | None) -> str:
+    """Path of the module that `from ..module import` names in the file at path."""
+    folder = path.split("/")[:-level] if level else []
+    return "/".join([*folder, *(module or "").split(".")]).rstrip("/")
+
+
+def _received(x: ast.AST) -> str | None:
+    """Name of what is called, with its receiver where that is a name other than self or cls."""
+    parts: list[str] = []
+    while isinstance(x, ast.Attribute):
+        parts.append(x.attr)
+        x = x.value
+    if isinstance(x, ast.Name) and (not parts or x.id not in ("self", "cls")):
+        parts.append(x.id)
+    return ".".join(reversed(parts)) if parts and (isinstance(x, ast.Name)) else parts[0] if parts else None
+
+
+#: Imports of names from a path, as scripts write them: {names}, a default name, * as name, or require.
+_FROM = re.compile(r"""^\s*(?:import|export)\s+(?:type\s+)?(.*?)\s+from\s+["'](\.[^"']*)["']|^\s*(?:const|let|var)\s+(.*?)\s*=\s*require\(\s*["'](\.[^"']*)["']\s*\)""")
+
+
+def _script_imports(path: str, text: str) -> Iterator[tuple]:
+    """Import rows of a script's relative imports, one line each."""
+    for i, line in enumerate(text.split("\n"), 1):
+        if not (m := _FROM.match(line)):
+            continue
+        names, source, required = m[1] or m[3], m[2] or m[4], m[3] is not None
+        module = posixpath.normpath(posixpath.join(posixpath.dirname(path), re.sub(r"\.(js|jsx|ts|tsx|mjs)$", "", source)))
+        inner = re.search(r"\{(.*)\}", names)
+        for part in inner[1].split(",") if inner else ():
+            ends = re.split(r"\s+as\s+|\s*:\s*", part.strip())
+            if ends[0]:
+                yield "import", None, ends[-1], module, i, None, ends[0], None, None
+        outer = re.sub(r"\{.*\}", "", names)
+        for part in filter(None, (p.strip() for p in outer.split(","))):
+            whole = re.match(r"\*\s+as\s+(\w+)$", part)
+            # A default import stands for the module's export of the same name.
+            yield "import", None, whole[1] if whole else part, module, i, None, None if whole or required else part, None, None
+
+
 def _called(x: ast.AST) -> str | None:
     x = x.func if isinstance(x, ast.Call) else x
     return x.id if isinstance(x, ast.Name) else x.attr if isinstance(x, ast.Attribute) else None
@@ -134,7 +180,7 @@ def _by_lines(language: str, text: str) -> Iterator[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """what (node, ref or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
+    """what (node, ref, import or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
 
     files: path, text, language. Python is parsed; other languages are read by lines, which finds declarations and calls
     but not types. A file that cannot be parsed gives one error row. One pass, no shuffle.
@@ -151,6 +197,8 @@ def extract(files: DataFrame) -> DataFrame:
                 rows.append(("node", "file", path.rsplit("/", 1)[-1], path, 1, text.count("\n") + 1, None, None, True, path, language))
                 try:
                     found = list(_python(path, text) if language == "python" else _by_lines(language, text) if language in _LINES else ())
+                    if language in ("javascript", "typescript", "jsx", "tsx"):
+                        found += _script_imports(path, text)
                     rows += [(*r, path, language) for r in found]
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append(("error", "file", str(e)[:200], path, 1, 1, None, None, None, path, language))
@@ -160,6 +208,11 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "text", "language").mapInPandas(run, schema)
 
 
+def imports_of(extracted: DataFrame) -> DataFrame:
+    """ref_file, local, exported (null: the whole module), module: what local names of a file stand for."""
+    return extracted.where("what = 'import'").select(F.col("file_path").alias("ref_file"), F.col("name").alias("local"), F.col("owner").alias("exported"), F.col("qualified_name").alias("module")).distinct()
+
+
 def graph_of(extracted: DataFrame) -> tuple[Graph, DataFrame]:
     """(nodes and contains edges, references: ref_id, from_id, ref_name, ref_kind, ref_file, ref_line, ref_language)."""
     nodes = extracted.where("what = 'node'").drop("what").withColumn("id", F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "file_path")).otherwise(node_id()))

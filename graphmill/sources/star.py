@@ -97,3 +97,39 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     disk = docs.where("doc_id % 11 != 0").select("path", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
     index = docs.where("doc_id % 10 != 0").select("path", F.md5("text").alias("hash"))
     return disk, index
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and references as source code would give them. Suppliers are classes with a method for each group of parts they sold,
+    parts are functions, documents are files; an order refers to one of them, in one of twelve forms."""
+    t = lambda name: table(spark, sf_dir, name)
+    text = lambda template, **v: F.concat(*(x for i, part in enumerate(template.split("@")) for x in ((v[part].cast("string"),) if i % 2 else (F.lit(part),))))
+    pick = lambda n, *of: F.element_at(F.array(*map(F.lit, of)), (1 + n % len(of)).cast("int"))
+    c, null = F.col, F.lit(None).cast("string")
+    key, nation = c("s_suppkey"), c("s_nationkey")
+    kind = text("Part@k@RuleEngine", k=key % 40)
+    owner = t("supplier").select("s_suppkey", kind.alias("name"), text("n@n@::Part@k@RuleEngine", n=nation, k=key % 40).alias("qualified_name"), text("src/n@n@/S@s@.x", n=nation, s=key).alias("file_path"), pick(key, "java", "kotlin", "python").alias("language"))
+    classes = owner.select(text("class:@s@", s=key).alias("id"), F.lit("class").alias("kind"), "name", "qualified_name", "file_path", "language", F.lit(1).alias("start_line"), null.alias("return_type"))
+    sold = t("lineitem").select(c("l_suppkey").alias("s_suppkey"), (c("l_partkey") % 50).alias("m")).distinct().join(owner.drop("name"), "s_suppkey")
+    m = c("m")
+    gives = F.when(m % 5 == 0, "self").otherwise(text("Part@k@RuleEngine", k=m % 40))
+    methods = sold.select(text("method:@s@:@m@", s=key, m=m), F.lit("method"), text("act@m@", m=m), F.concat("qualified_name", text("::act@m@", m=m)), "file_path", "language", (m + 2).cast("int"), gives)
+    alone = owner.select(text("alone:@s@", s=key), F.lit("method"), text("only@s@", s=key), F.concat("qualified_name", text("::only@s@", s=key)), "file_path", "language", F.lit(60), null)
+    p = c("p_partkey")
+    functions = t("part").select(text("function:@p@", p=p), F.lit("function"), text("do@n@", n=p % 701), text("do@n@", n=p % 701), text("lib/l@n@/F@n2@.x", n=p % 3, n2=p % 20), pick(p, "java", "go", "typescript", "python"), c("p_size").cast("int"), null)
+    d = c("doc_id")
+    path = text("doc/s@a@/t@b@/D@n@.md", a=d % 7, b=d % 3, n=d % 60)
+    files = t("documents").select(path.alias("path"), text("D@n@.md", n=d % 60).alias("leaf"), pick(d % 60, "c", "objc", "java").alias("language")).distinct()
+    files = files.select(F.concat(F.lit("file:"), "path"), F.lit("file"), "leaf", "path", "path", "language", F.lit(1), null)
+    nodes = reduce(DataFrame.union, [classes, methods, alone, functions, files]).withColumn("is_exported", F.lit(False))
+
+    o, u, form = c("o_orderkey"), c("o_custkey"), c("o_orderkey") % 12
+    v = {"a": u % 7, "b": u % 3, "d": u % 70, "k": u % 40, "m": o % 50, "n": u % 25, "w": (o * 7) % 50, "s": u % 200, "f": u % 800}
+    forms = ["D@d@.md", "t@b@/D@d@.md", "doc/s@a@/t@b@/D@d@.md", "Part@k@RuleEngine::act@m@", "n@n@::Part@k@RuleEngine", "part@k@RuleEngine.act@m@", "Part@k@RuleEngine.act@m@", "engineThing.act@m@", "thing.only@s@", "DO@f@", "do@f@", "Part@k@RuleEngine.act@m@().act@w@"]
+    name = reduce(lambda x, i: F.when(form == i, text(forms[i], **v)).otherwise(x), range(12), null)
+    even = u % 2 == 0
+    name = F.when((form == 4) & even, text("n@n@.Part@k@RuleEngine", **v)).when((form == 8) & (u % 5 == 0), "items.append").when((form == 8) & (u % 5 == 1), "list.append").otherwise(name)
+    what = F.when((form == 4) & even, "imports").when((form == 10) & (u % 5 < 3), "function_ref").when(form == 9, "references").otherwise("calls")
+    where = F.when(form == 10, text("lib/l@b@/F@x@.x", b=u % 3, x=u % 20)).otherwise(text("doc/s@a@/t@b@/R.md", **v))
+    refs = t("orders").select(o.alias("ref_id"), name.alias("ref_name"), what.alias("ref_kind"), where.alias("ref_file"), (o % 100).cast("int").alias("ref_line"), pick(u, "java", "kotlin", "python").alias("ref_language"), text("function:@u@", u=u).alias("from_id"))
+    return nodes, refs

@@ -12,7 +12,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphmill.plans import catalogue
+from graphmill.plans import catalogue, resolution
+
+QUERIES, ORACLE_SQL = catalogue.QUERIES | resolution.QUERIES, catalogue.ORACLE_SQL | resolution.ORACLE_SQL
 
 
 def plain(v):
@@ -32,13 +34,13 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, duck, name):
-    df = catalogue.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    if name in catalogue.ORACLE_SQL:
-        r = duck.execute(catalogue.ORACLE_SQL[name])
+    if name in ORACLE_SQL:
+        r = duck.execute(ORACLE_SQL[name])
         names = [d[0] for d in r.description]
         assert sorted(names) == columns
         assert got == sorted((tuple(plain(x[names.index(c)]) for c in columns) for x in r.fetchall()), key=repr)
