@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions.predicates import is_test, matches_symbol, name_glob, under
-from graphmill.operators import analytics, names, resolve, search, traverse, walk
+from graphmill.operators import analytics, names, resolve, search, tools, traverse, walk
 from graphmill.schema import Graph
 from graphmill.sources import code
 
@@ -63,6 +63,24 @@ class CodeGraph:
     def symbols(self, name: str) -> DataFrame:
         return self.graph.nodes.where(matches_symbol(name))
 
+    def definitions(self, symbol: str, file_part: str | None = None, line: int | None = None) -> DataFrame:
+        """What a symbol's name means, generated files last; narrowed by a part of the path, then by a line."""
+        found = tools.symbols(self.graph.nodes, symbol, file_part)
+        return found if line is None else tools.at_line(found, line)
+
+    def callers_of(self, symbol: str, limit: int = 20) -> DataFrame:
+        """Callers of each definition of a symbol, with what kind of use it is."""
+        return tools.neighbours(self.graph, self.definitions(symbol), "in", max(1, min(limit, 100)))
+
+    def callees_of(self, symbol: str, limit: int = 20) -> DataFrame:
+        return tools.neighbours(self.graph, self.definitions(symbol), "out", max(1, min(limit, 100)))
+
+    def trail(self, symbol: str) -> DataFrame:
+        return tools.trail(self.graph, self.definitions(symbol))
+
+    def outline(self, symbol: str) -> DataFrame:
+        return tools.outline(self.graph, self.definitions(symbol))
+
     def search(self, query: str, limit: int = 100) -> DataFrame:
         return search.search(self.graph.nodes, query, max(1, min(limit, 100)))
 

@@ -42,6 +42,17 @@ def test_index(graph):
     assert not [k for k in got if k[2] in ("append", "print", "len")]
 
 
+def test_symbol_tools(graph):
+    names_of = lambda df: {r["name"] for r in df.join(graph.graph.nodes.select("id", "name"), "id").collect()}
+    assert [r.file_path for r in graph.definitions("helper").orderBy("rank").collect()] == ["pkg/other.py", "pkg/util.py"]
+    assert [r.file_path for r in graph.definitions("helper", file_part="UTIL").collect()] == ["pkg/util.py"]
+    assert [r.name for r in graph.definitions("run", line=2).collect()] == ["run"]
+    assert names_of(graph.callers_of("helper")) == {"start", "run", "main.py"}  # the file imports it
+    assert {"helper", "Tool", "piece", "run"} <= names_of(graph.callees_of("start"))
+    assert [r["name"] for r in graph.outline("Tool").collect()] == ["run"]
+    assert {r.role for r in graph.trail("run").collect()} == {"caller", "callee"}
+
+
 def test_saved_graph_reads_back(graph, spark, tmp_path):
     graph.save(str(tmp_path / "g"))
     assert CodeGraph.open(spark, str(tmp_path / "g")).graph.nodes.count() == graph.graph.nodes.count()

@@ -12,9 +12,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphmill.plans import catalogue, resolution
+from graphmill.plans import catalogue, resolution, serving
 
-QUERIES, ORACLE_SQL = catalogue.QUERIES | resolution.QUERIES, catalogue.ORACLE_SQL | resolution.ORACLE_SQL
+QUERIES = catalogue.QUERIES | resolution.QUERIES | serving.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | resolution.ORACLE_SQL | serving.ORACLE_SQL
 
 
 def plain(v):
