@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import ann, decontaminate, html, langid, linededup, neardup, packing, phrases, prefixes, runs, secrets, tokenshards
+from graphmill.llm import ann, decontaminate, html, langid, linededup, neardup, packing, phrases, prefixes, runs, secrets, suffixes, tokenshards
 from graphmill.llm.common import table
 
 
@@ -59,5 +59,9 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.digest(prefixes.trie(*prefixes.rebuilt(prefixes.ordered_turns(table(spark, sf_dir, "conversations")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op4_training_order_shards, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_html_extraction, op11_word_runs, op12_conversation_trie)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup_bytes(table(spark, sf_dir, "documents"), 100))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_minhash_near_dedup, op4_training_order_shards, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_html_extraction, op11_word_runs, op12_conversation_trie, op13_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.ORACLE_SQL, "op12_conversation_trie": prefixes.ORACLE_SQL}
