@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def enclosing(points: DataFrame, ranges: DataFrame, key: str, at: str, width: int = 64) -> DataFrame:
+def enclosing(points: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFrame:
     """points with `scope`: the id of the tightest range (latest start, then largest id) of the same key with start <= at <= end, if any.
 
-    Ranges are listed under every bucket of `width` they touch, so the join is by key and bucket, not by key alone.
+    A range is listed at the level where it touches at most two buckets (of 2, 4, 8, .. places), so a wide one is two rows too. A point looks
+    into its bucket at each level that occurs; there are fewer than 64, so the list of them is small whatever the data.
     points: id, key, at; ranges: scope, key, start, end.
     """
-    listed = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    met = points.withColumn("_bucket", F.floor(F.col(at) / width)).join(listed, [key, "_bucket"]).where((F.col("start") <= F.col(at)) & (F.col("end") >= F.col(at)))
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    level = F.length(F.bin(F.greatest(end - start, F.lit(1))))
+    bucket = lambda x: F.expr(f"shiftright({x}, _level)")
+    listed = ranges.where(start <= end).withColumn("_level", level.cast("int")).withColumn("_s", start).withColumn("_e", end)
+    listed = listed.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket("_s"), bucket("_e"))))).drop("_s", "_e")
+    levels = [r[0] for r in listed.select("_level").distinct().collect()]
+    looks = points.withColumn("_p", F.col(at).cast("long")).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    met = looks.withColumn("_bucket", bucket("_p")).join(listed, [key, "_level", "_bucket"]).where((F.col("start") <= F.col(at)) & (F.col("end") >= F.col(at)))
     best = met.groupBy("id").agg(F.max(F.struct("start", "scope")).alias("best")).select("id", F.col("best.scope").alias("scope"))
     return points.join(best, "id", "left")
 

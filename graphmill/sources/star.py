@@ -133,3 +133,21 @@ def symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     where = F.when(form == 10, text("lib/l@b@/F@x@.x", b=u % 3, x=u % 20)).otherwise(text("doc/s@a@/t@b@/R.md", **v))
     refs = t("orders").select(o.alias("ref_id"), name.alias("ref_name"), what.alias("ref_kind"), where.alias("ref_file"), (o % 100).cast("int").alias("ref_line"), pick(u, "java", "kotlin", "python").alias("ref_language"), text("function:@u@", u=u).alias("from_id"))
     return nodes, refs
+
+
+def script_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(path, text, language; scope, file_path, start, end): a script for each customer with a function that has a line for each of their orders,
+    in one of six forms, some of them within comments and strings."""
+    o = F.col("o_orderkey")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    forms = [say("  table['k", o % 3, "'](p);"), say("  // table['k", o % 3, "'](p); */"), say('  const s = "table[x](p) \\" bus.emit(name, 1)"; /* a', o), say("*/ bus.emit(name, ", o, ");"), say("  mediator.Send(new Cmd", o % 4, "(1));"), say("  import(path", o, ");")]
+    pick = F.when((o / 4).cast("long") % 6 == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        # What opens a comment is closed in the same line, or stands before what closes it.
+        pick = pick.when((o / 4).cast("long") % 6 == i, F.concat(form, F.lit(" */")) if i == 2 else F.regexp_replace(form, r"^\*/", "  ") if i == 3 else form)
+    lines = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", pick.alias("line")))).alias("lines"))
+    path = say("src/c", F.col("o_custkey"), ".ts")
+    text = F.concat(say("function f", F.col("o_custkey"), "(p) {\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n}"))
+    files = lines.select(path.alias("path"), text.alias("text"), F.lit("typescript").alias("language"))
+    scopes = lines.select(say("function:", F.col("o_custkey")).alias("scope"), path.alias("file_path"), F.lit(1).alias("start"), (F.size("lines") + 2).alias("end"))
+    return files, scopes
