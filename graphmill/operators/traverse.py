@@ -159,24 +159,65 @@ def affected_files(files: DataFrame, changed: DataFrame, is_test: F.Column, dept
     return reach(moves, changed, depth, stop=tests).where(is_test)
 
 
-def cyclic(moves: DataFrame, longest: int | None = None) -> DataFrame:
-    """id: nodes that reach themselves. moves: at, to.
+def _labels(moves: DataFrame, start: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """id, label: the smallest label that reaches each node along moves; start: id, label. within: id, colour; then a label only enters nodes of its own colour.
 
-    Nodes without a way in or out are trimmed first, then pairs (from, to) grow until nothing is new; meant for graphs
-    of files or packages, whose closure fits the cluster.
+    Only nodes whose label has changed pass it on, over two moves a round. Each round writes the labels of the nodes that are still open, once.
     """
-    m = settled(moves.select("at", "to").distinct())
+    def passed_on(df: DataFrame) -> DataFrame:
+        to = moves.join(df.select(F.col("id").alias("at"), "label"), "at").groupBy(F.col("to").alias("id")).agg(F.min("label").alias("label"))
+        return to if within is None else to.join(within, "id").where("colour = label").select("id", "label")
+
+    labels = settled(start.select("id", "label"), "labels")
+    new = labels
     while True:
-        kept = settled(m.join(m.select(F.col("to").alias("at")).distinct(), "at", "left_semi").join(m.select(F.col("at").alias("to")).distinct(), "to", "left_semi").select("at", "to"))
-        if kept.count() == m.count():
+        near = passed_on(new)
+        passed = near.union(passed_on(near)).groupBy("id").agg(F.min("label").alias("_label"))
+        merged = labels.join(passed, "id", "full").select("id", F.least("label", "_label").alias("label"), (F.col("label").isNull() | (F.col("_label") < F.col("label"))).alias("_new"))
+        merged = settled(merged.select("id", "label", F.coalesce("_new", F.lit(False)).alias("_new")), "labels")
+        labels, new = merged.select("id", "label"), merged.where("_new")
+        if new.isEmpty():
+            return labels
+
+
+def components(moves: DataFrame) -> DataFrame:
+    """id, component, size: the strongly connected component of every node that has a move, named by its smallest node. moves: at, to.
+
+    Nodes without a way in or without a way out are components of their own and are peeled off, layer by layer. Of the rest, each node is coloured by the
+    smallest node that reaches it; what reaches that node within its colour is its component; and so on with what is left. A round holds a row a node and reads
+    the moves that are left; pairs of nodes that reach each other are never listed. Rounds grow with the length of paths, not with their number.
+    """
+    every = settled(moves.select("at", "to").where("at is not null and to is not null").distinct(), "moves")
+    m, left, done = every.where("at != to"), None, []
+    left = settled(every.select(F.col("at").alias("id")).union(every.select("to")).distinct(), "open")
+    while True:
+        size = m.count()
+        while size:
+            # A move stays while something leads to where it begins, and something leads on from where it ends.
+            kept = settled(m.join(m.select(F.col("to").alias("at")).distinct(), "at", "left_semi").join(m.select(F.col("at").alias("to")).distinct(), "to", "left_semi").select("at", "to"), "moves")
+            before, m, size = size, kept, kept.count()
+            if size == before:
+                break
+        open_ = settled(m.select(F.col("at").alias("id")).union(m.select("to")).distinct(), "open")
+        done.append(left.join(open_, "id", "left_anti").select("id", F.col("id").alias("component")))
+        left = open_
+        if left.isEmpty():
             break
-        m = kept
-    front, seen, d = m, m, 1
-    while not front.isEmpty() and (longest is None or d < longest):
-        d += 1
-        front = settled(front.alias("f").join(m.alias("m"), F.col("f.to") == F.col("m.at")).select("f.at", "m.to").distinct().join(seen, ["at", "to"], "left_anti"))
-        seen = settled(seen.union(front))
-    return seen.where("at = to").select(F.col("at").alias("id"))
+        colours = settled(_labels(m, left.select("id", F.col("id").alias("label"))).withColumnRenamed("label", "colour"), "colours")
+        back = m.select(F.col("to").alias("at"), F.col("at").alias("to"))
+        found = settled(_labels(back, colours.where("id = colour").select("id", F.col("colour").alias("label")), colours).select("id", F.col("label").alias("component")), "components")
+        done.append(found)
+        left = settled(left.join(found, "id", "left_anti"), "open")
+        inside = lambda side: left.select(F.col("id").alias(side))  # noqa: B023, E731
+        m = settled(m.join(inside("at"), "at", "left_semi").join(inside("to"), "to", "left_semi").select("at", "to"), "moves")
+    out = reduce(DataFrame.union, done, left.select("id", F.col("id").alias("component")).limit(0))
+    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
+
+
+def cyclic(moves: DataFrame) -> DataFrame:
+    """id: nodes that reach themselves: those of components of more than one node, and those with a move to themselves. moves: at, to."""
+    alone = moves.where("at = to").select(F.col("at").alias("id"))
+    return components(moves).where("size > 1").select("id").union(alone).distinct()
 
 
 def context(graph: Graph, node: str) -> DataFrame:

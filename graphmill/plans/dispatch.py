@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions import lexer
-from graphmill.operators import boundaries
+from graphmill.operators import boundaries, pointers, traverse
+from graphmill.sources import pointers as sources
 from graphmill.sources import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,46 @@ def blanked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda pattern: F.size(F.filter(body, lambda x: x.rlike(pattern))).cast("long")
     where = lambda x: F.transform(F.split(x, "\n"), F.length)
     return code.select("path", count(r"\S").alias("code_lines"), count(r'" +"').alias("quoted"), (where("code") == where("text")).alias("same_offsets"))
+
+
+@_query("""
+with recursive before_ as (
+  select s_suppkey as s, s_acctbal, coalesce(lag(s_suppkey) over (partition by s_nationkey order by s_suppkey), max(s_suppkey) over (partition by s_nationkey)) as b from supplier),
+sold as (select l_partkey as p, min(l_suppkey) as s from lineitem group by 1),
+bound as (select case when p_size % 2 = 0 then 'Sup' || s || '.run' else 'Sup' || s || '.stop' end as slot, 'src/s' || s || '.c#do_' || p as target from sold join part on p_partkey = p),
+copies as (
+  select 'Sup' || s || '.run' as to_slot, 'Sup' || b || '.run' as from_slot from before_
+  union select 'Sup' || s || '.stop', 'Sup' || b || '.run' from before_ where s_acctbal < 0),
+held as (select slot, target from bound union select c.to_slot, h.target from held h join copies c on c.from_slot = h.slot),
+sites as (
+  select 'src/s' || s || '.c#call_' || s as source, 'Sup' || s || '.run' as slot from before_
+  union all select 'src/s' || s || '.c#chain_' || s, 'Sup' || b || '.stop' from before_),
+pairs as (select source, target, slot as via from sites join held using (slot)
+  union all select 'src/s' || s || '.c#pick_' || s, 'src/s' || s || '.c#call_' || s, 'list[]' from before_)
+select source, target, via from (select *, row_number() over (partition by source order by via, target) as nth from pairs) where nth <= 300""")
+def function_pointer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = store.settled(sources.facts(star.pointer_files(spark, sf_dir)), "facts")
+    functions = facts.where("what = 'function'").select(F.concat("file_path", F.lit("#"), "value").alias("id"), F.col("value").alias("name"), "file_path")
+    return pointers.pointer_calls(facts, functions).select("source", "target", "via")
+
+
+_RINGS = """
+with placed as (
+  select o_custkey as c, o_orderkey as o, c_acctbal, min(o_orderkey) over (partition by o_custkey) as first from orders join customer on o_custkey = c_custkey)
+select o as id, case when c_acctbal < 0 then first else o end as component, cast(case when c_acctbal < 0 then count(*) over (partition by c) else 1 end as bigint) as size from placed
+where exists (select 1 from placed x where x.c = placed.c and x.o <> placed.o) or c_acctbal < 0
+  or exists (select 1 from placed x where placed.c % 2 = 0 and x.c = placed.c + 1) or exists (select 1 from placed x where placed.c % 2 = 1 and x.c = placed.c - 1)
+"""
+
+
+@_query(_RINGS)
+def order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders lead to the customer's order before; the first leads to the last where the customer owes, and to the next customer's last where their number is even."""
+    t = lambda name: star.table(spark, sf_dir, name)
+    o = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    chain = o.select(F.col("o_orderkey").alias("at"), F.lag("o_orderkey").over(by).alias("to")).where("to is not null")
+    ends = o.groupBy("o_custkey", "c_acctbal").agg(F.min("o_orderkey").alias("at"), F.max("o_orderkey").alias("to"))
+    ring = ends.where("c_acctbal < 0").select("at", "to")
+    across = ends.where("o_custkey % 2 = 0").select((F.col("o_custkey") + 1).alias("o_custkey"), "at").join(ends.select("o_custkey", "to"), "o_custkey").select("at", "to")
+    return traverse.components(chain.union(ring).union(across))

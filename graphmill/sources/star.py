@@ -151,3 +151,27 @@ def script_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     files = lines.select(path.alias("path"), text.alias("text"), F.lit("typescript").alias("language"))
     scopes = lines.select(say("function:", F.col("o_custkey")).alias("scope"), path.alias("file_path"), F.lit(1).alias("start"), (F.size("lines") + 2).alias("end"))
     return files, scopes
+
+
+def pointer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: C files, one of a type and one for each supplier. A supplier is a struct with two pointers and the supplier before it in its nation (of the
+    first, the last one); each part is a function in the file of the first supplier that sold it, and an entry of that one's table."""
+    t = lambda name: table(spark, sf_dir, name)
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    s, p, b = F.col("s_suppkey"), F.col("p_partkey"), F.col("before")
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    last = F.max("s_suppkey").over(Window.partitionBy("s_nationkey"))
+    suppliers = t("supplier").select("s_suppkey", "s_acctbal", F.coalesce(F.lag("s_suppkey").over(order), last).alias("before"))
+    sold = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey")).join(t("part").select("p_partkey", "p_size"), "p_partkey")
+    entry = F.when(F.col("p_size") % 2 == 0, say("  { ", p, ", do_", p, ", 0 },")).otherwise(say("  { .stop = &do_", p, " }, // { 1, do_0 }"))
+    lines = sold.groupBy("s_suppkey").agg(F.array_sort(F.collect_list(F.struct("p_partkey", say("int do_", p, "(int x) { return x; }").alias("f"), entry.alias("e")))).alias("parts"))
+    joined = lambda x: F.coalesce(F.array_join(F.transform("parts", lambda r: r[x]), "\n"), F.lit(""))
+    copy = say("void use_", s, "(struct Sup", s, " *a, struct Sup", b, " *b) { a->run = b->run;", F.when(F.col("s_acctbal") < 0, " a->stop = b->run;").otherwise(""), " }\n")
+    chain = say("int chain_", s, "(struct Sup", s, " *a) {\n  return a->before->stop(1);\n}\n")
+    text = F.concat(
+        say("/* static struct Sup", s, " gone = { 1, do_1, do_1 }; */\nstruct Sup", s, " { int id; act_fn run; int (*stop)(int); struct Sup", b, " *before; };\n"), joined("f"),
+        say("\nstatic struct Sup", s, " table_", s, "[] = {\n"), joined("e"), F.lit("\n};\n"), copy, say("int call_", s, "(struct Sup", s, " *a) {\n  log(\"a->stop(1)\");\n  return a->run(1);\n}\n"), chain,
+        say("static act_fn list[] = { call_", s, ", (act_fn)&no_such };\nint pick_", s, "(int i) { return list[i](1); }\n"),
+    )
+    files = suppliers.join(lines, "s_suppkey", "left").select(say("src/s", s, ".c").alias("path"), text.alias("text"))
+    return files.union(spark.range(1).select(F.lit("src/act.h").alias("path"), F.lit("typedef int (*act_fn)(int);\n").alias("text")))
