@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions.predicates import is_test, matches_symbol, name_glob, under
-from graphmill.operators import analytics, names, resolve, search, tools, traverse, walk
+from graphmill.operators import analytics, boundaries, names, resolve, search, textindex, tools, traverse, walk
 from graphmill.schema import Graph
 from graphmill.sources import code
 
@@ -17,8 +17,8 @@ from graphmill.sources import code
 class CodeGraph:
     """Queries over nodes and edges. Every method gives a DataFrame, lazily where no loop is needed."""
 
-    def __init__(self, graph: Graph):
-        self.graph = graph
+    def __init__(self, graph: Graph, texts: textindex.TextIndex | None = None):
+        self.graph, self.texts = graph, texts
 
     @classmethod
     def index(cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = ()) -> CodeGraph:
@@ -40,10 +40,12 @@ class CodeGraph:
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> CodeGraph:
-        return cls(store.read(spark, folder))
+        return cls(store.read(spark, folder), textindex.read(spark, f"{folder}/texts"))
 
     def save(self, folder: str) -> None:
+        """The tables and the index of their texts, which `open` searches instead of the texts."""
         store.write(self.graph, folder)
+        textindex.write(self.graph.nodes, f"{folder}/texts")
 
     def stats(self) -> dict[str, DataFrame]:
         return {"nodes": analytics.counts(self.graph.nodes, "kind"), "edges": analytics.counts(self.graph.edges, "kind"), "files": analytics.counts(analytics.files_of(self.graph), "language")}
@@ -82,7 +84,22 @@ class CodeGraph:
         return tools.outline(self.graph, self.definitions(symbol))
 
     def search(self, query: str, limit: int = 100) -> DataFrame:
-        return search.search(self.graph.nodes, query, max(1, min(limit, 100)))
+        return search.search(self.graph.nodes, query, max(1, min(limit, 100)), self.texts)
+
+    def completions(self, prefix: str, most: int = 20) -> DataFrame:
+        """Words of symbols that begin with prefix; of a saved graph."""
+        if self.texts is None:
+            raise ValueError("save the graph and open it: its index has the words")
+        return textindex.completions(self.texts, prefix, most)
+
+    def boundaries(self, files: DataFrame) -> DataFrame:
+        """Calls in the functions' texts that cannot be followed by names. files: path, text, language."""
+        scopes = self.graph.nodes.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("scope"), "file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+        return boundaries.boundaries(files, scopes)
+
+    def components(self) -> DataFrame:
+        """Files by the group of files that all depend on each other."""
+        return traverse.components(traverse.file_graph(self.graph).toDF("at", "to"))
 
     def relevant(self, query: str, limit: int = 20) -> DataFrame:
         return search.relevant(self.graph, query, limit)

@@ -98,16 +98,19 @@ def rescored(found: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
     return n.withColumn("score", F.col("score") + name_bonus(F.col("name"), query) + kind_bonus(F.col("kind")) + path_score(F.col("file_path"), query))
 
 
-def search(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
+def search(nodes: DataFrame, raw: str, limit: int = 100, index=None) -> DataFrame:
     """id, name, kind, file_path, score: the cascade of full text, then LIKE, then fuzzy (each if nothing was found before), with exact
-    names at the best score; bonuses; the limit; and only then the path: and name: filters of the query, so fewer rows may come back."""
+    names at the best score; bonuses; the limit; and only then the path: and name: filters of the query, so fewer rows may come back. index: a stored TextIndex of all
+    nodes; then words are looked up instead of every text being read, and a word's rarity is that among all nodes."""
+    from graphmill.operators import textindex
+
     q = parse_query(raw)
     n = nodes.where(F.col("kind").isin(*q.kinds)) if q.kinds else nodes
     n = n.where(F.col("language").isin(*q.languages)) if q.languages else n
     if not q.text:
         found = filtered(n, limit=5 * limit)
     else:
-        found = full_text(n, q.text, max(5 * limit, 100))
+        found = full_text(n, q.text, max(5 * limit, 100)) if index is None else textindex.full_text(index, q.text, n, max(5 * limit, 100))
         if len(q.text) > 1 and found.isEmpty():
             found = like_ranked(n, q.text)
             if len(q.text) > 2 and found.isEmpty():

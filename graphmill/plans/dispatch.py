@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions import lexer
-from graphmill.operators import boundaries, pointers, traverse
+from graphmill.operators import boundaries, pointers, textindex, traverse
+from graphmill.plans.catalogue import STAR
 from graphmill.sources import pointers as sources
 from graphmill.sources import star
 
@@ -99,3 +101,29 @@ def order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = ends.where("c_acctbal < 0").select("at", "to")
     across = ends.where("o_custkey % 2 = 0").select((F.col("o_custkey") + 1).alias("o_custkey"), "at").join(ends.select("o_custkey", "to"), "o_custkey").select("at", "to")
     return traverse.components(chain.union(ring).union(across))
+
+
+_WORDS = STAR + r""", texts as (select id, 'name' as field, 20.0 as weight, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '') as words from nodes
+  union all select id, 'qualified_name', 5.0, list_filter(regexp_split_to_array(lower(qualified_name), '[^a-z0-9]+'), lambda x: x <> '') from nodes),
+sizes as (select field, count(*) as n, avg(len(words)) as mean from texts group by 1),
+hits as (select id, field, weight, w, len(words) as size, len(list_filter(words, lambda x: starts_with(x, w))) as tf from texts, (values ('sup'), ('asia'), ('order'), ('1')) v(w)),
+spread as (select field, w, count(*) as df from hits where tf > 0 group by 1, 2)
+"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    folder = f"{store.shared(spark)}/graphmill-texts-{uuid.uuid4().hex}"
+    textindex.write(star.star_graph(spark, sf_dir).nodes, folder)
+    return textindex.read(spark, folder)
+
+
+@_query(_WORDS + """select id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) as score
+from hits join sizes using (field) join spread using (field, w) where tf > 0 group by 1""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every symbol with words that begin with one of four, from the stored index."""
+    return textindex.scores(_index(spark, sf_dir), ["sup", "asia", "order", "1"]).select("id", F.round("score", 6).alias("score"))
+
+
+@_query(_WORDS + "select word as term, count(*) as df from (select distinct id, field, unnest(words) as word from texts) where starts_with(word, '1') group by 1 order by 2 desc, 1 limit 20")
+def word_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textindex.completions(_index(spark, sf_dir), "1")
