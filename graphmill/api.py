@@ -11,7 +11,7 @@ from graphmill import store
 from graphmill.functions.predicates import is_test, matches_symbol, name_glob, under
 from graphmill.operators import analytics, boundaries, names, resolve, search, textindex, tools, traverse, walk
 from graphmill.schema import Graph
-from graphmill.sources import code
+from graphmill.sources import code, tree
 
 
 class CodeGraph:
@@ -21,9 +21,12 @@ class CodeGraph:
         self.graph, self.texts = graph, texts
 
     @classmethod
-    def index(cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = ()) -> CodeGraph:
-        """Scan, extract and resolve a folder of source files. resolvers: further strategies by name, such as those of a framework."""
-        extracted = store.settled(code.extract(code.scan(spark, root, ignore)), "extracted")
+    def index(
+        cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = (), include_ignored: list[str] | None = None, extensions: dict[str, str] | None = None
+    ) -> CodeGraph:
+        """Scan, extract and resolve a folder of source files. ignore: rules beside those of the ignore files; include_ignored: ignored folders whose repositories
+        are read; extensions: languages of further endings. resolvers: further strategies by name, such as those of a framework."""
+        extracted = store.settled(code.extract(tree.scan_tree(spark, root, ignore, include_ignored, extensions)), "extracted")
         graph, refs = code.graph_of(extracted)
         refs = store.settled(refs, "refs")
         nodes = store.settled(graph.nodes, "nodes")

@@ -13,6 +13,7 @@ from graphmill.operators.search import COLUMN_WEIGHTS, K1, B, tokens
 
 #: Letters of a term that name the folder of its postings.
 SHELF = 2
+_POSTINGS = "shelf string, term string, field string, id string, tf int, len int"
 
 
 class TextIndex(NamedTuple):
@@ -38,8 +39,7 @@ def write(nodes: DataFrame, folder: str) -> None:
     by = ["shelf", "term", "field", "id"]
     stored = postings_of(nodes).select(shelf, "term", "field", "id", "tf", "len").repartitionByRange(*by).sortWithinPartitions(*by)
     stored.write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/postings")
-    spark = nodes.sparkSession
-    terms = spark.read.parquet(f"{folder}/postings").groupBy("shelf", "term", "field").agg(F.count("*").alias("df"))
+    terms = nodes.sparkSession.read.schema(_POSTINGS).parquet(f"{folder}/postings").groupBy("shelf", "term", "field").agg(F.count("*").alias("df"))
     terms.repartitionByRange("shelf", "term").sortWithinPartitions("shelf", "term", "field").write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/terms")
     have = [c for c in COLUMN_WEIGHTS if c in nodes.columns]
     size = lambda c: F.coalesce(F.sum(F.size(tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))))), F.lit(0))
@@ -49,9 +49,8 @@ def write(nodes: DataFrame, folder: str) -> None:
 
 
 def read(spark: SparkSession, folder: str) -> TextIndex:
-    term = "shelf string, term string, field string"
     load = lambda part, schema: spark.read.schema(schema).parquet(f"{folder}/{part}")
-    return TextIndex(load("postings", f"{term}, id string, tf int, len int"), load("fields", "field string, n long, words long"), load("terms", f"{term}, df long"))
+    return TextIndex(load("postings", _POSTINGS), load("fields", "field string, n long, words long"), load("terms", "shelf string, term string, field string, df long"))
 
 
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:

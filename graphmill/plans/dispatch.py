@@ -13,7 +13,7 @@ from graphmill.functions import lexer
 from graphmill.operators import boundaries, pointers, textindex, traverse
 from graphmill.plans.catalogue import STAR
 from graphmill.sources import pointers as sources
-from graphmill.sources import star
+from graphmill.sources import star, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +127,26 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_WORDS + "select word as term, count(*) as df from (select distinct id, field, unnest(words) as word from texts) where starts_with(word, '1') group by 1 order by 2 desc, 1 limit 20")
 def word_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textindex.completions(_index(spark, sf_dir), "1")
+
+
+@_query("""select lower(replace(r_name, ' ', '_')) as region, lower(replace(n_name, ' ', '_')) as nation, count(*) as files, cast(sum(n) as bigint) as lines, cast(sum(size) as bigint) as size
+from (select r_name, n_name, count(*) as n, sum(strlen(c_name) + 1) as size from customer join nation on c_nationkey = n_nationkey join region on r_regionkey = n_regionkey group by 1, 2)
+where r_name <> 'EUROPE' and n_name <> 'JAPAN' and not (r_name <> 'ASIA' and n_name = 'KENYA') group by 1, 2""")
+def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names in a file for each nation, in a folder for each region, of which ignore files rule out one region and two nations."""
+    t = lambda name: star.table(spark, sf_dir, name)
+    folder = f"{store.shared(spark)}/graphmill-tree-{uuid.uuid4().hex}"
+    lower = lambda x: F.lower(F.replace(x, F.lit(" "), F.lit("_")))
+    place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), lower("r_name").alias("r"), lower("n_name").alias("n"))
+    t("customer").join(place, "c_nationkey").select(F.col("c_name").alias("value"), "r", "n").repartition("r", "n").write.partitionBy("r", "n").text(folder)
+    # Ignore files are texts of one line of their own folders, written as anything else is.
+    rules = spark.createDataFrame([("", "r=europe/"), ("/r=asia", "n=japan"), ("/r=africa", "/n=kenya/")], "folder string, rule string")
+    for at, rule in rules.collect():
+        system, base = tree._filesystem(folder + at)
+        system.create_dir(base)
+        with system.open_output_stream(f"{base}/{tree.IGNORE_FILE}") as f:
+            f.write(f"# made\n{rule}\n*.crc\n".encode())
+    found = tree.scan_tree(spark, folder, extensions={".txt": "python"}, partitions=8)
+    part = lambda name: F.regexp_extract("path", rf"{name}=([^/]*)/", 1)
+    n_lines = F.size(F.split("text", "\n")) - 1
+    return found.groupBy(part("r").alias("region"), part("n").alias("nation")).agg(F.count("*").alias("files"), F.sum(n_lines).cast("long").alias("lines"), F.sum("size").alias("size"))

@@ -31,7 +31,7 @@ def test_scores_are_those_of_reading_all_texts(spark, tmp_path):
     for query in ("user", "u", "service load", "serv us", "nothing", "user user"):
         assert rounded(textindex.full_text(g.texts, query)) == rounded(search.full_text(nodes, query)), query
     assert {r["id"] for r in g.search("user kind:function").collect()} == {"2", "5"}
-    assert [tuple(r) for r in g.completions("us").collect()] == [("users", 4), ("user", 3), ("userservice", 3), ("uses", 1)]
+    assert [tuple(r) for r in g.completions("us").collect()] == [("user", 5), ("users", 4), ("userservice", 3), ("uses", 1)]
 
 
 
