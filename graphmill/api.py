@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions.predicates import is_test, matches_symbol, name_glob, under
-from graphmill.operators import analytics, boundaries, names, resolve, search, textindex, tools, traverse, walk
+from graphmill.operators import analytics, boundaries, modules, names, resolve, search, textindex, tools, traverse, walk
 from graphmill.schema import Graph
 from graphmill.sources import code, tree
 
@@ -26,13 +26,18 @@ class CodeGraph:
     ) -> CodeGraph:
         """Scan, extract and resolve a folder of source files. ignore: rules beside those of the ignore files; include_ignored: ignored folders whose repositories
         are read; extensions: languages of further endings. resolvers: further strategies by name, such as those of a framework."""
-        extracted = store.settled(code.extract(tree.scan_tree(spark, root, ignore, include_ignored, extensions)), "extracted")
+        scanned = store.settled(tree.scan_tree(spark, root, ignore, include_ignored, extensions, configs=True), "scanned")
+        configs, files = scanned.where("language = 'config'").select("path", "text"), scanned.where("language != 'config'")
+        extracted = store.settled(code.extract(files), "extracted")
         graph, refs = code.graph_of(extracted)
         refs = store.settled(refs, "refs")
         nodes = store.settled(graph.nodes, "nodes")
-        imports = store.settled(code.imports_of(extracted), "imports")
+        imports, exports = (store.settled(modules.with_files(f(extracted), files, configs), "imports") for f in (code.imports_of, code.exports_of))
+        # A module is known by its file without the ending, however its path was written.
+        bare = F.regexp_replace("target_path", r"(/(index|__init__|mod))?\.[^./]*$", "")
+        imports = imports.withColumn("module", F.when(F.col("spec").isNotNull() & F.col("target_path").isNotNull(), bare).otherwise(F.col("module")))
         asked = store.settled(names.possible(names.without_built_ins(refs, nodes), nodes, imports), "asked")
-        plugins = [("import", lambda r, n: names.by_import(r, n, imports)), *resolvers]
+        plugins = [("import", lambda r, n: names.by_import(r, n, imports)), ("import", lambda r, n: modules.by_reexport(r, n, imports, exports)), *resolvers]
         found = names.cascade(asked, nodes, plugins=plugins)
         made = found.join(refs, "ref_id").where("from_id != target").select(
             F.col("from_id").alias("source"), "target", F.col("ref_kind").alias("kind"), F.col("ref_line").alias("line"),

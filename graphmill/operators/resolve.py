@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.operators.intervals import top_per_group
-from graphmill.store import small
+from graphmill.store import settled
 
 
 def shared_folders(a: F.Column, b: F.Column) -> F.Column:
@@ -118,12 +118,22 @@ def calls_in_text(texts: DataFrame, pattern: str, group: int = 1) -> DataFrame:
 
 def chase_exports(wanted: DataFrame, exports: DataFrame, declared: DataFrame, depth: int = 8) -> DataFrame:
     """ref_id, target: what a name imported from a file stands for, through re-exports by name (first) or of everything, at most depth files.
-    wanted: ref_id, file_path, name; exports: file_path, name (null: everything), from_path, from_name; declared: file_path, name, target."""
-    front, found = wanted.select("ref_id", "file_path", "name", F.lit(0).alias("cost")), None
+    wanted: ref_id, file_path, name; exports: file_path, name (null: everything), from_path, from_name; declared: file_path, name, target.
+
+    A round goes one file further, from places not visited before for that reference, so files that re-export each other end; each is written. A reference
+    goes on only while nothing has been found for it.
+    """
+    front = seen = settled(wanted.select("ref_id", "file_path", "name", F.lit(0).alias("cost")).distinct(), "wanted")
+    found = []
     for d in range(depth):
-        hit = front.join(small(declared) if d == 0 else declared, ["file_path", "name"]).select("ref_id", "target", (F.col("cost") + d * 100).alias("cost"))
-        found = hit if found is None else found.union(hit)
-        named = front.join(exports.where("name is not null"), ["file_path", "name"]).select("ref_id", F.col("from_path").alias("file_path"), F.col("from_name").alias("name"), "cost")
-        every = front.join(exports.where("name is null").drop("name"), "file_path").select("ref_id", F.col("from_path").alias("file_path"), "name", (F.col("cost") + 1).alias("cost"))
-        front = named.union(every).groupBy("ref_id", "file_path", "name").agg(F.min("cost").alias("cost"))
-    return top_per_group(found, ["ref_id"], ["cost", "target"], 1).select("ref_id", "target")
+        hit = settled(top_per_group(front.join(declared, ["file_path", "name"]).select("ref_id", "target", "cost"), ["ref_id"], ["cost", "target"], 1).select("ref_id", "target"), "found")
+        found.append(hit)
+        open_ = front.join(hit, "ref_id", "left_anti")
+        named = open_.join(exports.where("name is not null"), ["file_path", "name"]).select("ref_id", F.col("from_path").alias("file_path"), F.col("from_name").alias("name"), "cost")
+        every = open_.join(exports.where("name is null").drop("name"), "file_path").select("ref_id", F.col("from_path").alias("file_path"), "name", (F.col("cost") + 1).alias("cost"))
+        more = named.union(every).groupBy("ref_id", "file_path", "name").agg(F.min("cost").alias("cost"))
+        front = settled(more.join(seen, ["ref_id", "file_path", "name"], "left_anti"), "wanted")
+        if d + 1 == depth or front.isEmpty():
+            break
+        seen = settled(seen.unionByName(front), "seen")
+    return reduce(DataFrame.union, found)

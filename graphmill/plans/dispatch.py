@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions import lexer
-from graphmill.operators import boundaries, pointers, textindex, traverse
+from graphmill.operators import boundaries, modules, pointers, textindex, traverse
 from graphmill.plans.catalogue import STAR
 from graphmill.sources import pointers as sources
 from graphmill.sources import star, tree
@@ -150,3 +151,55 @@ def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda name: F.regexp_extract("path", rf"{name}=([^/]*)/", 1)
     n_lines = F.size(F.split("text", "\n")) - 1
     return found.groupBy(part("r").alias("region"), part("n").alias("nation")).agg(F.count("*").alias("files"), F.sum(n_lines).cast("long").alias("lines"), F.sum("size").alias("size"))
+
+
+#: Configs of a made repository; its files and imports come from the tables.
+CONFIGS = [
+    ("tsconfig.json", '{ // paths\n "compilerOptions": { "baseUrl": ".", "paths": { "@/*": ["src/*"], "@/deep/*": ["lib/deep/*", "src/deep/*"], "exact": ["src/n1/only"], "x*.end": ["src/*"], }, }, }'),
+    ("package.json", '{"workspaces": ["packages/*"]}'), ("packages/ui/package.json", '{"name": "@scope/ui"}'), ("packages/uicore/package.json", '{"name": "@scope/ui/core"}'), ("elsewhere/no/package.json", '{"name": "left"}'),
+    ("go.mod", "// m\nmodule example.com/app\n\ngo 1.2\n"), ("crates/k/Cargo.toml", '[package]\nname = "my-crate"\n'), ("broken/tsconfig.json", "{"),
+]
+_MODULES = """
+with c as (select c_custkey as u, c_nationkey as n from customer),
+files as (
+  select 'src/n' || n || '/c' || u || '.ts' as path, 'script' as family from c union all select 'src/n1/only.ts', 'script'
+  union all select 'lib/deep/n' || n || '/c' || u || '.ts', 'script' from c where u % 3 = 0 union all select 'src/deep/n' || n || '/c' || u || '.tsx', 'script' from c where u % 3 <> 2
+  union all select 'packages/ui/n' || n || '/c' || u || '.tsx', 'script' from c where u % 2 = 0 union all select 'packages/uicore/c' || u || '/index.ts', 'script' from c where u % 2 = 1
+  union all select 'pkg/n' || n || '/c' || u || '.go', 'go' from c union all select 'crates/k/src/n' || n || '/c' || u || '.rs', 'rust' from c
+  union all select 'native/include/n' || n || '/c' || u || '.h', 'c' from c union all select 'from/c' || u || '.h', 'c' from c where u % 5 = 0)
+"""
+
+
+@_query(_MODULES + """, asks as (select o_orderkey as o, u, n, o_orderkey % 11 as form from orders join c on o_custkey = u),
+wanted as (select o, case form when 0 then ['src/n' || n || '/c' || u || '.ts'] when 1 then ['lib/deep/n' || n || '/c' || u || '.ts', 'src/deep/n' || n || '/c' || u || '.tsx'] when 2 then ['packages/ui/n' || n || '/c' || u || '.tsx']
+  when 3 then ['packages/uicore/c' || u || '/index.ts'] when 4 then ['go' || n] when 5 then ['src/n1/only.ts'] when 7 then ['crates/k/src/n' || n || '/c' || u || '.rs'] when 8 then ['from/c' || u || '.h', 'native/include/n' || n || '/c' || u || '.h']
+  when 9 then ['src/n' || n || '/c' || u || '.ts'] when 10 then ['src/n' || n || '/c' || u || '.ts'] else [] end as paths,
+  case form when 0 then 'alias' when 1 then 'alias' when 2 then 'workspace' when 3 then 'workspace' when 4 then 'module' when 5 then 'alias' when 7 then 'crate' when 9 then 'alias' when 10 then 'relative' end as kind, form from asks),
+named as (select o, kind, form, unnest(paths) as path, generate_subscripts(paths, 1) as pick from wanted),
+go as (select 'go' || n as path, min('pkg/n' || n || '/c' || u || '.go') as first from c group by 1),
+met as (select o, form, pick, coalesce(kind, case when pick = 1 then 'relative' else 'include' end) as kind, coalesce(first, path) as path from named left join go using (path))
+select o as ref_id, path as target_path, kind, cast(case when form = 8 and kind = 'relative' then 0.92 else 0.9 end as double) as confidence from (
+  select *, row_number() over (partition by o order by pick) as nth from met where path in (select path from files)) where nth = 1""")
+def resolved_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import paths of orders, in eleven forms, to files of customers."""
+    t = lambda name: star.table(spark, sf_dir, name)
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    c = t("customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("n"))
+    u, n = F.col("u"), F.col("n")
+    made = [
+        ("true", say("src/n", n, "/c", u, ".ts"), "typescript"), ("u % 3 = 0", say("lib/deep/n", n, "/c", u, ".ts"), "typescript"), ("u % 3 != 2", say("src/deep/n", n, "/c", u, ".tsx"), "tsx"), ("u % 2 = 0", say("packages/ui/n", n, "/c", u, ".tsx"), "tsx"),
+        ("u % 2 = 1", say("packages/uicore/c", u, "/index.ts"), "typescript"), ("true", say("pkg/n", n, "/c", u, ".go"), "go"), ("true", say("crates/k/src/n", n, "/c", u, ".rs"), "rust"),
+        ("true", say("native/include/n", n, "/c", u, ".h"), "c"), ("u % 5 = 0", say("from/c", u, ".h"), "c"),
+    ]
+    files = reduce(DataFrame.union, (c.where(w).select(path.alias("path"), F.lit(x).alias("language")) for w, path, x in made))
+    files = store.settled(files.union(spark.range(1).select(F.lit("src/n1/only.ts"), F.lit("typescript"))), "files")
+    o = F.col("o_orderkey")
+    specs = [
+        (say("@/n", n, "/c", u), "typescript"), (say("@/deep/n", n, "/c", u), "tsx"), (say("@scope/ui/n", n, "/c", u), "typescript"), (say("@scope/ui/core/c", u), "javascript"), (say("example.com/app/pkg/n", n), "go"), (F.lit("exact"), "typescript"),
+        (F.lit("left-pad"), "typescript"), (say("my_crate/n", n, "/c", u), "rust"), (F.when(u % 5 == 0, say("c", u, ".h")).otherwise(say("n", n, "/c", u, ".h")), "c"), (say("xn", n, "/c", u, ".end"), "vue"), (say("../src/./n", n, "/c", u), "svelte"),
+    ]
+    asks = t("orders").join(c, F.col("o_custkey") == u)
+    pick = lambda i: reduce(lambda x, k: F.when(o % 11 == k, specs[k][i] if i == 0 else F.lit(specs[k][1])).otherwise(x), range(11), F.lit(None).cast("string"))
+    asks = store.settled(asks.select(o.alias("ref_id"), pick(0).alias("spec"), pick(1).alias("language"), F.lit("from/here").alias("ref_file")), "asks")
+    found = modules.resolved(asks, files, spark.createDataFrame(CONFIGS, "path string, text string"))
+    return asks.join(found, ["ref_file", "spec"]).select("ref_id", "target_path", "kind", "confidence")

@@ -126,27 +126,44 @@ def _received(x: ast.AST) -> str | None:
     return ".".join(reversed(parts)) if parts and (isinstance(x, ast.Name)) else parts[0] if parts else None
 
 
-#: Imports of names from a path, as scripts write them: {names}, a default name, * as name, or require.
-_FROM = re.compile(r"""^\s*(?:import|export)\s+(?:type\s+)?(.*?)\s+from\s+["'](\.[^"']*)["']|^\s*(?:const|let|var)\s+(.*?)\s*=\s*require\(\s*["'](\.[^"']*)["']\s*\)""")
+#: Imports of names from a path, as scripts write them: {names}, a default name, * as name, or require. Exports of what another file has.
+_FROM = re.compile(r"""^\s*(?:import)\s+(?:type\s+)?(.*?)\s+from\s+["']([^"']+)["']|^\s*(?:const|let|var)\s+(.*?)\s*=\s*require\(\s*["']([^"']+)["']\s*\)""")
+_EXPORT = re.compile(r"""^\s*export\s+(?:type\s+)?(\*|\{.*?\})(?:\s+as\s+(\w+))?\s+from\s+["']([^"']+)["']""")
+
+
+def _module_of(path: str, source: str) -> tuple[str | None, str]:
+    """(None, path below the root without ending) of a relative path; (`spec`, the path as it stands) of others, which configs explain."""
+    if not source.startswith("."):
+        return "spec", source
+    return None, posixpath.normpath(posixpath.join(posixpath.dirname(path), re.sub(r"\.(js|jsx|ts|tsx|mjs)$", "", source)))
 
 
 def _script_imports(path: str, text: str) -> Iterator[tuple]:
-    """Import rows of a script's relative imports, one line each."""
+    """Import and export rows of a script, of statements on one line each."""
     for i, line in enumerate(text.split("\n"), 1):
+        if m := _EXPORT.match(line):
+            kind, module = _module_of(path, m[3])
+            if m[1] == "*" and not m[2]:
+                yield "export", kind, None, module, i, None, None, None, None
+            for part in m[1].strip("{}").split(",") if m[1] != "*" else ():
+                ends = re.split(r"\s+as\s+", part.strip())
+                if ends[0]:
+                    yield "export", kind, ends[-1], module, i, None, ends[0], None, None
+            continue
         if not (m := _FROM.match(line)):
             continue
         names, source, required = m[1] or m[3], m[2] or m[4], m[3] is not None
-        module = posixpath.normpath(posixpath.join(posixpath.dirname(path), re.sub(r"\.(js|jsx|ts|tsx|mjs)$", "", source)))
+        kind, module = _module_of(path, source)
         inner = re.search(r"\{(.*)\}", names)
         for part in inner[1].split(",") if inner else ():
             ends = re.split(r"\s+as\s+|\s*:\s*", part.strip())
             if ends[0]:
-                yield "import", None, ends[-1], module, i, None, ends[0], None, None
+                yield "import", kind, ends[-1], module, i, None, ends[0], None, None
         outer = re.sub(r"\{.*\}", "", names)
         for part in filter(None, (p.strip() for p in outer.split(","))):
             whole = re.match(r"\*\s+as\s+(\w+)$", part)
             # A default import stands for the module's export of the same name.
-            yield "import", None, whole[1] if whole else part, module, i, None, None if whole or required else part, None, None
+            yield "import", kind, whole[1] if whole else part, module, i, None, None if whole or required else part, None, None
 
 
 def _called(x: ast.AST) -> str | None:
@@ -180,7 +197,7 @@ def _by_lines(language: str, text: str) -> Iterator[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """what (node, ref, import or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
+    """what (node, ref, import, export or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
 
     files: path, text, language. Python is parsed; other languages are read by lines, which finds declarations and calls
     but not types. A file that cannot be parsed gives one error row. One pass, no shuffle.
@@ -209,8 +226,15 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def imports_of(extracted: DataFrame) -> DataFrame:
-    """ref_file, local, exported (null: the whole module), module: what local names of a file stand for."""
-    return extracted.where("what = 'import'").select(F.col("file_path").alias("ref_file"), F.col("name").alias("local"), F.col("owner").alias("exported"), F.col("qualified_name").alias("module")).distinct()
+    """ref_file, local, exported (null: the whole module), module, language, spec (the module as written, where configs explain it): what local names of a file stand for."""
+    said = extracted.where("what = 'import'").select(F.col("file_path").alias("ref_file"), F.col("name").alias("local"), F.col("owner").alias("exported"), F.col("qualified_name").alias("module"), "language", F.when(F.col("kind") == "spec", F.col("qualified_name")).alias("spec"))
+    return said.distinct()
+
+
+def exports_of(extracted: DataFrame) -> DataFrame:
+    """ref_file, name (null: everything), from_name, module, language, spec: what files pass on from others."""
+    said = extracted.where("what = 'export'").select(F.col("file_path").alias("ref_file"), "name", F.col("owner").alias("from_name"), F.col("qualified_name").alias("module"), "language", F.when(F.col("kind") == "spec", F.col("qualified_name")).alias("spec"))
+    return said.distinct()
 
 
 def graph_of(extracted: DataFrame) -> tuple[Graph, DataFrame]:

@@ -215,7 +215,8 @@ class _Part(InputPartition):
 class SourceTree(DataSource):
     """spark.read.format("source_tree").load(root): path (below the root), text, language, size, modified_at, content_hash, error of source files.
 
-    Options: exclude and includeIgnored (JSON lists of ignore rules), extensions (JSON object of ending to language), partitions. What the file
+    Options: exclude and includeIgnored (JSON lists of ignore rules), extensions (JSON object of ending to language), partitions, configs (true: files that explain
+    import paths are rows too, of the language `config`). What the file
     graphmill.json in the root says under those names is added. Nested ignore files hold for their folders; a repository within has its own rules only;
     one in an ignored folder is read if includeIgnored names the folder. Files beyond 1 MB are not opened: they, and those not in UTF-8, have an error and no text.
     """
@@ -257,8 +258,13 @@ class SourceReader(DataSourceReader):
         self.exclude, self.include = both("exclude"), both("includeIgnored")
         self.languages = LANGUAGES | _endings(config.get("extensions"), set(LANGUAGES.values())) | _endings(said("extensions"), set(LANGUAGES.values()))
         self.parts = int(options.get("partitions") or 64)
+        self.configs = (options.get("configs") or "").lower() == "true"
 
     def language(self, path: str) -> str | None:
+        from graphmill.operators.modules import CONFIGS
+
+        if self.configs and path.rsplit("/", 1)[-1] in CONFIGS:
+            return "config"
         return self.languages.get(os.path.splitext(path)[1].lower())
 
     def tree(self) -> Tree:
@@ -299,10 +305,10 @@ class SourceReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def scan_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, include_ignored: list[str] | None = None, extensions: dict[str, str] | None = None, partitions: int = 64) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, include_ignored: list[str] | None = None, extensions: dict[str, str] | None = None, partitions: int = 64, configs: bool = False) -> DataFrame:
     """SourceTree over root, a path that driver and executors share."""
     spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree").option("partitions", partitions)
+    reader = spark.read.format("source_tree").option("partitions", partitions).option("configs", str(configs).lower())
     for name, value in (("exclude", exclude), ("includeIgnored", include_ignored), ("extensions", extensions)):
         reader = reader.option(name, json.dumps(value)) if value else reader
     return reader.load(root)
