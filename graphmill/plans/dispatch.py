@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions import lexer
-from graphmill.operators import boundaries, modules, pointers, textindex, traverse
+from graphmill.operators import boundaries, explore, modules, pointers, textindex, traverse
 from graphmill.plans.catalogue import STAR
 from graphmill.sources import pointers as sources
 from graphmill.sources import star, tree
@@ -203,3 +203,50 @@ def resolved_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = store.settled(asks.select(o.alias("ref_id"), pick(0).alias("spec"), pick(1).alias("language"), F.lit("from/here").alias("ref_file")), "asks")
     found = modules.resolved(asks, files, spark.createDataFrame(CONFIGS, "path string, text string"))
     return asks.join(found, ["ref_file", "spec"]).select("ref_id", "target_path", "kind", "confidence")
+
+
+_EXPLORE = """
+with recursive ranges as (
+  select 'src/c' || o_custkey || '.x' as f, o_orderkey as a, o_orderkey + o_orderkey % 30 as z, [10, 9, 6, 3, 1][1 + o_orderkey % 5] as importance, o_orderkey % 13 = 0 as spine, case when o_orderkey % 13 = 0 then o_orderkey end as call_line from orders),
+flagged as (select *, case when a <= max(z) over w + 300 then 0 else 1 end as is_new from ranges window w as (partition by f order by a, z, importance rows between unbounded preceding and 1 preceding)),
+runs as (select *, sum(is_new) over (partition by f order by a, z, importance rows unbounded preceding) as run from flagged),
+found as (select f, min(a) as a, max(z) as z, sum(importance)::bigint as score, max(importance) as top, bool_or(spine) as spine, arg_min(call_line, a) filter (call_line is not null) as call_line, count(*) as symbols from runs group by f, run),
+ranked as (select *, 2 * (z - a + 1) as chars, row_number() over (partition by f order by spine desc, top desc, score / (z - a + 1) desc, score desc, z - a, a) as rank from found)
+"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    spine = o % 13 == 0
+    rank = F.element_at(F.array(*map(F.lit, (10, 9, 6, 3, 1))), (1 + o % 5).cast("int"))
+    ranges = star.table(spark, sf_dir, "orders").select(F.concat(F.lit("src/c"), F.col("o_custkey").cast("string"), F.lit(".x")).alias("file_path"), o.alias("start"), (o + o % 30).alias("end"), rank.alias("importance"), spine.alias("spine"), F.when(spine, o).alias("call_line"))
+    return explore.clusters(ranges, 300)
+
+
+@_query(_EXPLORE + "select f as file_path, a as start, z as \"end\", score, top, spine, call_line, symbols, rank from ranked")
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of orders' numbers as lines of a file a customer, merged and ranked."""
+    return _clusters(spark, sf_dir)
+
+
+@_query(_EXPLORE + """, folded as (
+  select f, 0::bigint as rank, 0::bigint as used, 0 as n, []::bigint[] as kept from (select distinct f from ranked)
+  union all select s.f, r.rank, case when ok then more else used end, case when ok then n + 1 else n end, case when ok then list_append(kept, r.rank) else kept end
+  from (select s.*, r.rank as next, s.used + r.chars + case when s.n > 0 then 19 else 0 end as more, s.n = 0 or s.used + r.chars + 19 <= 3800 or (r.spine and s.used + r.chars + 19 <= 9500) as ok from folded s join ranked r on r.f = s.f and r.rank = s.rank + 1) s
+  join ranked r on r.f = s.f and r.rank = s.next),
+last as (select f, max_by(kept, rank) as kept, max_by(used, rank) as used from folded group by f),
+files as (select f, used, row_number() over (order by 2 * least(score, 100) // 20 desc, symbols desc, f) as rank from (select f, sum(score) as score, count(*) as symbols from ranked group by f) join last using (f)),
+total as (
+  select 0::bigint as rank, 0::bigint as used, []::varchar[] as kept
+  union all select f.rank, case when ok then more else t.used end, case when ok then list_append(kept, f.f) else kept end
+  from (select t.*, t.used + f.used + 200 as more, len(t.kept) < 4 and t.used + f.used + 200 <= 13000 as ok from total t join files f on f.rank = t.rank + 1) t join files f on f.rank = t.rank + 1 where f.rank <= 50)
+select file_path, file_rank, r.rank, r.a as start, r.chars from (select unnest(kept) as file_path, generate_subscripts(kept, 1) as file_rank from (select max_by(kept, rank) as kept from total)) join last l on l.f = file_path
+join ranked r on r.f = file_path and list_contains(l.kept, r.rank)""")
+def explored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of those clusters fits the answer to one question, file by file."""
+    found = store.settled(_clusters(spark, sf_dir).withColumn("chars", 2 * (F.col("end") - F.col("start") + 1)), "clusters")
+    no = F.lit(False)
+    files = found.groupBy("file_path").agg(F.sum("score").alias("_s"), F.count("*").alias("symbols"))
+    files = files.select("file_path", (F.floor(2 * F.least("_s", F.lit(100)) / 20)).cast("double").alias("graph"), no.alias("is_central"), no.alias("is_entry"), no.alias("is_named"), F.lit(0).alias("hits"), F.lit(0).alias("score"), "symbols")
+    picked = explore.selection(explore.ranked_files(explore.gated(files), 50), found, explore.budget_of(100))
+    return picked.select("file_path", "file_rank", "rank", "start", "chars")
