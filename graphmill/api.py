@@ -14,7 +14,7 @@ from graphmill.schema import Graph
 from graphmill.sources import code, tree
 
 
-class CodeGraph:
+class SymbolGraph:
     """Queries over nodes and edges. Every method gives a DataFrame, lazily where no loop is needed."""
 
     def __init__(self, graph: Graph, texts: textindex.TextIndex | None = None):
@@ -23,7 +23,7 @@ class CodeGraph:
     @classmethod
     def index(
         cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = (), include_ignored: list[str] | None = None, extensions: dict[str, str] | None = None
-    ) -> CodeGraph:
+    ) -> SymbolGraph:
         """Scan, extract and resolve a folder of source files. ignore: rules beside those of the ignore files; include_ignored: ignored folders whose repositories
         are read; extensions: languages of further endings. resolvers: further strategies by name, such as those of a framework."""
         scanned = store.settled(tree.scan_tree(spark, root, ignore, include_ignored, extensions, configs=True), "scanned")
@@ -47,7 +47,7 @@ class CodeGraph:
         return cls(Graph(nodes, store.settled(edges, "edges")))
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> CodeGraph:
+    def open(cls, spark: SparkSession, folder: str) -> SymbolGraph:
         return cls(store.read(spark, folder), textindex.read(spark, f"{folder}/texts"))
 
     def save(self, folder: str) -> None:

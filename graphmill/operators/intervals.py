@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +49,26 @@ def within_budget(df: DataFrame, key: str, order: list, size: str, budget: int)
 
 
 def greedy_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of each key taken in order whenever they still fit; the first is always taken. For keys of few rows."""
-
-    def take(pdf):
-        pdf = pdf.sort_values(order, ignore_index=True)
-        left, keep = budget, []
-        for i, n in enumerate(pdf[size]):
-            keep.append(i == 0 or n <= left)
-            left -= n if keep[-1] else 0
-        return pdf[keep]
+    """Rows of each key taken in order whenever they still fit; the first is always taken. A null size takes nothing.
 
-    return df.groupBy(key).applyInPandas(take, df.schema)
+    What is taken depends on all before it, so a key is read in one task, but as a sorted stream of which only the sum is held: a key may be of any size.
+    """
+    at, sized = [f.name for f in df.schema].index(key), [f.name for f in df.schema].index(size)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, fresh = None, 0, True
+        for b in batches:
+            keep = []
+            for k, n in zip(b.column(at).to_pylist(), b.column(sized).to_pylist()):
+                if fresh or k != now:
+                    now, left, fresh, first = k, budget, False, True
+                else:
+                    first = False
+                keep.append(first or (n or 0) <= left)
+                left -= (n or 0) if keep[-1] else 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(take, df.schema)
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

@@ -24,8 +24,8 @@ def symbols(nodes: DataFrame, symbol: str, file_part: str | None = None) -> Data
     found = nodes.where(matches_symbol(symbol))
     if file_part:
         inside = F.lower("file_path").contains(file_part.lower())
-        some = F.max(inside).over(Window.partitionBy(F.lit(0)))  # the definitions of one name
-        found = found.withColumn("_some", some).where(~F.col("_some") | inside).drop("_some")
+        some = found.agg(F.coalesce(F.max(inside), F.lit(False)).alias("_some"))  # one row
+        found = found.join(F.broadcast(some)).where(~F.col("_some") | inside).drop("_some")
     last = is_generated(F.col("file_path")).cast("int")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(last, "file_path", "start_line", "id")))
 
@@ -34,8 +34,8 @@ def at_line(definitions: DataFrame, line: int) -> DataFrame:
     """Of the definitions those that hold the line; if none does, the one that starts nearest (the first of equals)."""
     holds = (F.col("start_line") <= line) & (F.coalesce("end_line", "start_line") >= line)
     far = F.when(holds, -1).otherwise(F.abs(F.col("start_line") - line))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(far, "file_path", "start_line", "id"))
-    return definitions.withColumn("_far", far).withColumn("_nth", place).where("_far = -1 or (_nth = 1)").drop("_far", "_nth")
+    nearest = definitions.agg(F.min(F.struct(far.alias("far"), "file_path", "start_line", "id")).alias("_near"))  # one row
+    return definitions.join(F.broadcast(nearest)).where((far == -1) | (F.col("id") == F.col("_near.id")) & (F.col("_near.far") != -1)).drop("_near")
 
 
 def edge_label(kind: Column) -> Column:

@@ -507,15 +507,21 @@ def supertype_member(s, d):
     return traverse.first_match_above(_types(s, d).edges, members.withColumn("name", F.lit("run")), start)
 
 
-_WALK = ", ".join(
-    f"m{k} as (select n.id, 0.75 * coalesce((select sum(p.mass * b.n / d.degree) from both_ways b join m{k - 1} p on p.id = b.from_id join deg d on d.from_id = b.from_id where b.to_id = n.id), 0) + 0.25 * (case when n.id = 'click' then 1.0 else 0.0 end) as mass from ids n)"
-    for k in (1, 2, 3)
-)
+_STEPS = [
+    f"m{k} as materialized (select n.id, 0.75 * coalesce((select sum(p.mass * b.n / d.degree) from both_ways b join m{k - 1} p on p.id = b.from_id join deg d on d.from_id = b.from_id where b.to_id = n.id), 0) + 0.25 * (case when n.id = 'click' then 1.0 else 0.0 end) as mass from ids n)"
+    for k in range(1, 26)
+]
+_EVENT_GRAPH = """with e as (select event_type as source, lead(event_type) over (partition by user_id order by ts, event_id) as target from events), pairs as (select source, target, count(*) as n from e where target is not null and source <> target group by 1, 2),
+both_ways as (select from_id, to_id, cast(sum(n) as double) as n from (select source as from_id, target as to_id, n from pairs union all select target, source, n from pairs) group by 1, 2), deg as (select from_id, sum(n) as degree from both_ways group by 1), ids as (select distinct event_type as id from events),
+m0 as (select id, case when id = 'click' then 1.0 else 0.0 end as mass from ids), """
 
 
-@query(f"""with e as (select event_type as source, lead(event_type) over (partition by user_id order by ts, event_id) as target from events), pairs as (select source, target, count(*) as n from e where target is not null and source <> target group by 1, 2),
-both_ways as (select from_id, to_id, cast(sum(n) as double) as n from (select source as from_id, target as to_id, n from pairs union all select target, source, n from pairs) group by 1, 2), deg as (select from_id, sum(n) as degree from both_ways group by 1), ids as (select distinct event_type as id from events),
-m0 as (select id, case when id = 'click' then 1.0 else 0.0 end as mass from ids), {_WALK} select id, round(mass, 6) as mass from m3""")
+def _walked(rounds: int, what: str) -> str:
+    return _EVENT_GRAPH + ", ".join(_STEPS[:rounds]) + f" select {what} from m{rounds}"
+
+
+
+@query(_walked(3, "id, round(mass, 6) as mass"))
 def random_walk_3(s, d):
     return _event_walk(s, d, 3).select("id", F.round("mass", 6).alias("mass"))
 
@@ -527,7 +533,12 @@ def _event_walk(s, d, rounds):
     return walk.walk_with_restart(edges, e.select(c("event_type").alias("id")).distinct(), s.createDataFrame([("click",)], "id string"), rounds=rounds, kinds=None)
 
 
-@query("select cast(1.0 as double) as mass")
+@query(_walked(25, "id, round(mass, 6) as mass"))
+def random_walk_25(s, d):
+    return _event_walk(s, d, 25).select("id", F.round("mass", 6).alias("mass"))
+
+
+@query(_walked(25, "round(sum(mass), 9) as mass"))
 def random_walk_mass(s, d):
     return _event_walk(s, d, 25).agg(F.round(F.sum("mass"), 9).alias("mass"))
 
@@ -540,7 +551,11 @@ def flow_chain(s, d):
     return walk.flow(x.edges, x.nodes.where(c("qualified_name").contains("::Customer#000000001::") | c("id").isin("interface:1", "interface:2", "interface:3")).select("id"))
 
 
-@query(None)
+@query(NATION + """, walks as (
+  select [source::varchar] as path from (select distinct source from deps)
+  union all select list_append(w.path, e.target::varchar) from walks w join deps e on e.source::varchar = w.path[-1] where len(w.path) < 7 and not list_contains(w.path, e.target::varchar)),
+good as (select path, '>' || array_to_string(path, '>') || '>' as line from walks where len(path) >= 3)
+select array_to_string(path, '>') as path from good g where not exists (select 1 from good o where o.line <> g.line and contains(o.line, g.line)) order by len(path) desc, line limit 3""")
 def call_paths(s, d):
     deps = star.nation_graph(s, d)
     moves = deps.select(c("source").cast("string").alias("at"), c("target").cast("string").alias("to"))
@@ -644,10 +659,15 @@ def running_budget(s, d):
     return intervals.within_budget(docs, "source", ["n_chars", "doc_id"], "n_chars", 15000).select("doc_id", "source", "used")
 
 
-@query("""select doc_id, source, n_chars from (select doc_id, source, n_chars, sum(n_chars) over w as used, row_number() over w as nth from documents window w as (partition by source order by n_chars, doc_id)) where used <= 15000 or nth = 1""")
+@query("""with recursive placed as (select doc_id, source, n_chars, row_number() over (partition by source order by doc_id) as nth from documents),
+taken as (
+  select source, nth, doc_id, n_chars, true as kept, 15000 - n_chars as remaining from placed where nth = 1
+  union all select p.source, p.nth, p.doc_id, p.n_chars, p.n_chars <= t.remaining, case when p.n_chars <= t.remaining then t.remaining - p.n_chars else t.remaining end
+  from taken t join placed p on p.source is not distinct from t.source and p.nth = t.nth + 1)
+select doc_id, source, n_chars from taken where kept""")
 def greedy_budget(s, d):
     docs = t(s, d, "documents").select("doc_id", "source", "n_chars")
-    return intervals.greedy_budget(docs, "source", ["n_chars", "doc_id"], "n_chars", 15000)
+    return intervals.greedy_budget(docs, "source", ["doc_id"], "n_chars", 15000)
 
 
 @query(STAR + "select distinct source, target, kind from edges")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions import lexer
-from graphmill.operators import boundaries, explore, modules, pointers, textindex, traverse
+from graphmill.operators import boundaries, explore, modules, pointers, textindex, traverse, walk
 from graphmill.plans.catalogue import STAR
 from graphmill.sources import pointers as sources
 from graphmill.sources import star, tree
@@ -250,3 +250,21 @@ def explored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.select("file_path", (F.floor(2 * F.least("_s", F.lit(100)) / 20)).cast("double").alias("graph"), no.alias("is_central"), no.alias("is_entry"), no.alias("is_named"), F.lit(0).alias("hits"), F.lit(0).alias("score"), "symbols")
     picked = explore.selection(explore.ranked_files(explore.gated(files), 50), found, explore.budget_of(100))
     return picked.select("file_path", "file_rank", "rank", "start", "chars")
+
+
+@_query("""
+with recursive edges as (select o_orderkey as at, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as "to" from orders),
+named as (select o_orderkey as id from orders where o_totalprice > 50000), seeds as (select id from named order by id desc limit 8),
+step as (
+  select id as seed, id as at, 1 as n, 0 as streak, [id] as path from seeds
+  union all select s.seed, e."to", s.n + 1, case when e."to" in (select id from named) then 0 else s.streak + 1 end, list_append(s.path, e."to")
+  from step s join edges e on e.at = s.at where e."to" is not null and s.n < 7 and (e."to" in (select id from named) or s.streak < 1))
+select seed, array_to_string(path, '>') as path from (select *, row_number() over (partition by seed order by n desc) as nth from step where streak = 0 and n > 1) where nth = 1""")
+def longest_call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the last eight dear orders back through the customer's orders."""
+    orders = star.table(spark, sf_dir, "orders")
+    # A negative number stands for an order, so that the last ones are the first seeds.
+    at, before = -F.col("o_orderkey"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    moves = orders.select(at.alias("at"), (-before).alias("to")).where("to is not null")
+    found = walk.longest_chains(moves, orders.where("o_totalprice > 50000").select(at.alias("id")))
+    return found.select((-F.col("seed")).alias("seed"), F.array_join(F.transform("path", lambda x: (-x).cast("string")), ">").alias("path"))

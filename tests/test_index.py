@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Row
 
-from graphmill.api import CodeGraph
+from graphmill.api import SymbolGraph
 from graphmill.operators import names
 
 FILES = {
@@ -22,7 +22,7 @@ def graph(spark, tmp_path_factory):
     for path, text in FILES.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
-    return CodeGraph.index(spark, str(root))
+    return SymbolGraph.index(spark, str(root))
 
 
 def edges(g):
@@ -55,7 +55,7 @@ def test_symbol_tools(graph):
 
 def test_saved_graph_reads_back(graph, spark, tmp_path):
     graph.save(str(tmp_path / "g"))
-    assert CodeGraph.open(spark, str(tmp_path / "g")).graph.nodes.count() == graph.graph.nodes.count()
+    assert SymbolGraph.open(spark, str(tmp_path / "g")).graph.nodes.count() == graph.graph.nodes.count()
 
 
 def test_methods_of_supertypes(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill import store
-from graphmill.api import CodeGraph
+from graphmill.api import SymbolGraph
 from graphmill.operators import modules, resolve
 
 
@@ -70,7 +70,7 @@ def test_an_index_follows_aliases_packages_and_barrels(spark, tmp_path):
     for path, text in texts.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
-    g = CodeGraph.index(spark, str(tmp_path)).graph
+    g = SymbolGraph.index(spark, str(tmp_path)).graph
     place = g.nodes.select("id", F.concat_ws("#", "file_path", "name").alias("at"))
     e = store.settled(g.edges.where("kind in ('calls', 'instantiates')").join(place.toDF("source", "from"), "source").join(place.toDF("target", "to"), "target"))
     assert {(r["from"], r["to"]) for r in e.collect()} == {("app/main.ts#run", "src/util.ts#helper"), ("app/main.ts#run", "packages/ui/button.ts#Button"), ("app/main.ts#run", "packages/ui/deep.ts#deepest")}

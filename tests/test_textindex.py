@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from graphmill.api import CodeGraph
+from graphmill.api import SymbolGraph
 from graphmill.operators import search, textindex
 from graphmill.schema import Graph
 
@@ -17,8 +17,8 @@ COLUMNS = "id string, name string, qualified_name string, docstring string, sign
 
 def opened(spark, tmp_path, nodes):
     edges = spark.createDataFrame([("2", "1", "calls", 9)], "source string, target string, kind string, line int")
-    CodeGraph(Graph(nodes, edges)).save(f"file://{tmp_path}/g")
-    return CodeGraph.open(spark, f"file://{tmp_path}/g")
+    SymbolGraph(Graph(nodes, edges)).save(f"file://{tmp_path}/g")
+    return SymbolGraph.open(spark, f"file://{tmp_path}/g")
 
 
 def rounded(df):
