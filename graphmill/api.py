@@ -38,7 +38,8 @@ class SymbolGraph:
         imports = imports.withColumn("module", F.when(F.col("spec").isNotNull() & F.col("target_path").isNotNull(), bare).otherwise(F.col("module")))
         asked = store.settled(names.possible(names.without_built_ins(refs, nodes), nodes, imports), "asked")
         plugins = [("import", lambda r, n: names.by_import(r, n, imports)), ("import", lambda r, n: modules.by_reexport(r, n, imports, exports)), *resolvers]
-        found = names.cascade(asked, nodes, plugins=plugins)
+        types = store.settled(code.receiver_types(extracted, asked, nodes), "types")
+        found = names.until_settled(asked, nodes, types, plugins)
         made = found.join(refs, "ref_id").where("from_id != target").select(
             F.col("from_id").alias("source"), "target", F.col("ref_kind").alias("kind"), F.col("ref_line").alias("line"),
             F.create_map(F.lit("confidence"), F.col("confidence").cast("string"), F.lit("resolvedBy"), F.col("resolved_by")).alias("metadata"),

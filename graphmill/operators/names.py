@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphmill.operators.intervals import top_per_group
 from graphmill.operators.resolve import by_name, first_strategy, proximity, shared_folders
+from graphmill.store import settled
 
 # Languages of one family; languages in which a bare name is never a method; those in which `Name(..)` makes one.
 FAMILIES = {"jvm": ("java", "kotlin", "scala"), "apple": ("swift", "objc"), "web": ("typescript", "tsx", "javascript", "jsx"), "c": ("c", "cpp"), "dotnet": ("csharp", "razor")}
@@ -240,8 +241,8 @@ def _words(c: Column) -> Column:
     return F.transform(F.filter(F.split(apart, r"[\s._:/\\]+"), lambda w: F.length(w) > 1), F.lower)
 
 
-def by_receiver(refs: DataFrame, nodes: DataFrame, types: DataFrame | None = None, ceiling: int = 500) -> DataFrame:
-    """Calls on a receiver (`thing.run`, `Thing::run`): the method of the receiver's declared type 0.9 (types: ref_id, type), of the
+def by_receiver(refs: DataFrame, nodes: DataFrame, types: DataFrame | None = None, ceiling: int = 500, supers: DataFrame | None = None) -> DataFrame:
+    """Calls on a receiver (`thing.run`, `Thing::run`): the method of the receiver's declared type 0.9 (types: ref_id, type), or of the nearest of its supertypes (supers), of the
     class that bears the receiver's name 0.85, or its name with a capital 0.8; else the only method of that name in the language 0.7, or
     the one whose qualified name shares most words with the receiver, with at least two points 0.65 (one point for the same language).
     For the last two, names that more than `ceiling` nodes bear are declined."""
@@ -274,7 +275,7 @@ def by_receiver(refs: DataFrame, nodes: DataFrame, types: DataFrame | None = Non
         return found
     told = refs.join(types, "ref_id").where(F.regexp_extract("ref_name", r"^[\w.]+\.(\w+)$", 1) != "")
     told = told.select(F.col("ref_id").alias("question"), "type", F.regexp_extract("ref_name", r"(\w+)$", 1).alias("method"), F.col("ref_language").alias("language"))
-    typed = on_type(told, nodes).select(F.col("question").alias("ref_id"), "target", F.lit(0.9).alias("confidence"))
+    typed = on_type(told, nodes, supers).select(F.col("question").alias("ref_id"), "target", F.lit(0.9).alias("confidence"))
     return top_per_group(typed.union(found), ["ref_id"], [F.desc("confidence")], 1).select("ref_id", "target", "confidence")
 
 
@@ -320,9 +321,38 @@ def cascade(refs: DataFrame, nodes: DataFrame, supers: DataFrame | None = None,
     Function values have only their own strategy. Both inputs are read by every strategy, so written tables serve best.
     """
     plain = refs.where("ref_kind != 'function_ref'")
-    order = [("path", by_path(plain, nodes)), ("qualified", by_qualified(plain, nodes)), ("chain", by_chain(plain, nodes, supers)), ("receiver", by_receiver(plain, nodes, types)), ("exact", by_name(plain, nodes)), ("fuzzy", by_lower_name(plain, nodes))]
+    order = [("path", by_path(plain, nodes)), ("qualified", by_qualified(plain, nodes)), ("chain", by_chain(plain, nodes, supers)), ("receiver", by_receiver(plain, nodes, types, supers=supers)), ("exact", by_name(plain, nodes)), ("fuzzy", by_lower_name(plain, nodes))]
     every = reduce(DataFrame.unionByName, (df.select("ref_id", "target", "confidence").withColumn("resolved_by", F.lit(n)).withColumn("_rank", F.lit(i)) for i, (n, df) in enumerate(order)))
     named = gated(top_per_group(every, ["ref_id"], ["_rank"], 1).select("ref_id", "target", "confidence", "resolved_by"), refs, nodes)
     others = first_strategy(*((n, f(refs, nodes)) for n, f in plugins), ("package", by_package(refs, nodes)), ("value", gated(as_value(refs, nodes), refs, nodes)))
     both = others.withColumn("_rank", F.lit(0)).unionByName(named.withColumn("_rank", F.lit(1)))
     return top_per_group(both, ["ref_id"], [F.desc("confidence"), "_rank", "target"], 1).select("ref_id", "target", "confidence", "resolved_by")
+
+
+def supertypes(found: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sub, super: names of types and of those they were found to extend or implement. found: ref_id, target."""
+    named = nodes.select("id", "name")
+    ups = refs.where("ref_kind in ('extends', 'implements')").join(found, "ref_id").select(F.col("from_id").alias("id"), "target")
+    ups = ups.join(named.withColumnRenamed("name", "sub"), "id").select("sub", F.col("target").alias("id")).join(named.withColumnRenamed("name", "super"), "id")
+    return ups.where("sub != super").select("sub", "super").distinct()
+
+
+def until_settled(refs: DataFrame, nodes: DataFrame, types: DataFrame | None = None, plugins: Sequence[tuple[str, Resolver]] = ()) -> DataFrame:
+    """ref_id, target, confidence, resolved_by of a cascade that feeds on itself: supertypes are those that the cascade has found, and what is still open, or calls on a
+    typed receiver that were found otherwise than by its type, is asked again over them, until no supertype is new. All inputs should be written tables."""
+    found = settled(cascade(refs, nodes, None, types, plugins), "found")
+    known = settled(supertypes(found, refs, nodes), "supers")
+    fresh = known
+    while not fresh.isEmpty():
+        # A chain, or a receiver of known type, may stand for a method of a supertype; other strategies do not look there.
+        may = refs.where(F.col("ref_name").contains("()."))
+        may = may.unionByName(refs.join(types, "ref_id", "left_semi")) if types is not None else may
+        again = settled(may.distinct().join(found.where("confidence >= 0.85"), "ref_id", "left_anti"), "again")
+        more = cascade(again, nodes, known, types, plugins)
+        better = settled(more.join(found.select("ref_id", F.col("confidence").alias("_had")), "ref_id", "left").where("_had is null or confidence > _had").drop("_had"), "better")
+        if better.isEmpty():
+            break
+        found = settled(found.join(better, "ref_id", "left_anti").unionByName(better), "found")
+        every = settled(supertypes(found, refs, nodes), "supers")
+        fresh, known = every.join(known, ["sub", "super"], "left_anti"), every
+    return found

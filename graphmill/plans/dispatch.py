@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions import lexer
-from graphmill.operators import boundaries, explore, modules, pointers, textindex, traverse, walk
+from graphmill.operators import boundaries, explore, modules, names, pointers, textindex, traverse, walk
 from graphmill.plans.catalogue import STAR
 from graphmill.sources import pointers as sources
-from graphmill.sources import star, tree
+from graphmill.sources import code, star, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -268,3 +268,33 @@ def longest_call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = orders.select(at.alias("at"), (-before).alias("to")).where("to is not null")
     found = walk.longest_chains(moves, orders.where("o_totalprice > 50000").select(at.alias("id")))
     return found.select((-F.col("seed")).alias("seed"), F.array_join(F.transform("path", lambda x: (-x).cast("string")), ">").alias("path"))
+
+
+@_query("""
+with recursive above as (select s_suppkey as s, lag(s_suppkey) over (partition by s_nationkey order by s_suppkey) as b from supplier),
+has as (select distinct s, p % 50 as m from (select l_partkey as p, min(l_suppkey) as s from lineitem group by 1)),
+up as (select s, s as at, 0 as depth from above union all select u.s, a.b, u.depth + 1 from up u join above a on a.s = u.at where a.b is not null and u.depth < 4),
+found as (select u.s, h.m, arg_min(u.at, u.depth) as owner from up u join has h on h.s = u.at group by 1, 2),
+only_one as (select m, min(s) as owner from has group by 1 having count(*) = 1)
+select 'm/s' || s || '.py' as ref_file, 'x.do' || m as ref_name, 'm/s' || owner || '.py' as target_file, cast(confidence as double) as confidence from (
+  select s, m, owner, 0.9 as confidence from found
+  union all select a.s, o.m, o.owner, 0.7 from above a cross join only_one o where not exists (select 1 from found f where f.s = a.s and f.m = o.m))""")
+def inherited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files, one a supplier: a class below the one of the supplier before it in its nation, with a method for some parts, and a function that calls fifty
+    methods on a parameter of that type."""
+    t = lambda name: star.table(spark, sf_dir, name)
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    s, b = F.col("s_suppkey"), F.col("above")
+    suppliers = t("supplier").select("s_suppkey", F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("above"))
+    first = t("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey"))
+    methods = first.groupBy("s_suppkey").agg(F.array_sort(F.collect_set(F.col("l_partkey") % 50)).alias("ms"))
+    body = F.array_join(F.transform(F.coalesce("ms", F.array().cast("array<bigint>")), lambda m: say("    def do", m, "(self):\n        return 0\n")), "\n")
+    calls = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: say("    x.do", j, "()")), "\n")
+    text = F.concat(say("class Sup", s), F.when(b.isNull(), "").otherwise(say("(Sup", b, ")")), F.lit(":\n    size = 1\n\n"), body, say("\n\ndef use", s, "(x: Sup", s, "):\n"), calls, F.lit("\n"))
+    files = suppliers.join(methods, "s_suppkey", "left").select(say("m/s", s, ".py").alias("path"), text.alias("text"), F.lit("python").alias("language"))
+    extracted = store.settled(code.extract(files), "extracted")
+    graph, refs = code.graph_of(extracted)
+    nodes, refs = store.settled(graph.nodes, "nodes"), store.settled(refs, "refs")
+    types = store.settled(code.receiver_types(extracted, refs, nodes), "types")
+    found = names.until_settled(refs, nodes, types).join(refs.where("ref_name like 'x.do%'"), "ref_id")
+    return found.join(nodes.select(F.col("id").alias("target"), F.col("file_path").alias("target_file")), "target").select("ref_file", "ref_name", "target_file", F.col("confidence").cast("double").alias("confidence"))

@@ -85,6 +85,12 @@ def _python(path: str, text: str) -> Iterator[tuple]:
                 kind = "class" if isinstance(x, ast.ClassDef) else "method" if in_class else "function"
                 qualified = f"{owner}::{x.name}" if owner else x.name
                 yield "node", kind, x.name, qualified, x.lineno, x.end_lineno, owner, ast.get_docstring(x), not x.name.startswith("_")
+                if not isinstance(x, ast.ClassDef):
+                    if gives := _type_of(x.returns):
+                        yield "type", "returns", gives, qualified, x.lineno, None, None, None, None
+                    for a in [*x.args.posonlyargs, *x.args.args, *x.args.kwonlyargs]:
+                        if takes := _type_of(a.annotation):
+                            yield "type", "variable", a.arg, takes, a.lineno, None, qualified, None, None
                 for d in x.decorator_list:
                     if name := _called(d):
                         yield "ref", "decorates", name, None, d.lineno, None, qualified, None, None
@@ -96,6 +102,16 @@ def _python(path: str, text: str) -> Iterator[tuple]:
             else:
                 if isinstance(x, ast.Call) and (name := _received(x.func)):
                     yield "ref", "calls", name, None, x.lineno, None, owner, None, None
+                elif isinstance(x, (ast.Assign, ast.AnnAssign)):
+                    said = _type_of(x.annotation) if isinstance(x, ast.AnnAssign) else None
+                    made = _called(x.value) if isinstance(x.value, ast.Call) else None
+                    if kind := said or (made if made and made[0].isupper() else None):
+                        for to in x.targets if isinstance(x, ast.Assign) else [x.target]:
+                            if isinstance(to, ast.Name):
+                                yield "type", "variable", to.id, kind, x.lineno, None, owner, None, None
+                            elif isinstance(to, ast.Attribute) and isinstance(to.value, ast.Name) and to.value.id == "self":
+                                # What a method puts into its object is known in the whole class.
+                                yield "type", "variable", to.attr, kind, x.lineno, None, owner.rpartition("::")[0], None, None
                 elif isinstance(x, (ast.Import, ast.ImportFrom)):
                     for a in x.names:
                         yield "ref", "imports", (a.asname or a.name).rsplit(".", 1)[-1], None, x.lineno, None, owner, None, None
@@ -109,6 +125,16 @@ def _python(path: str, text: str) -> Iterator[tuple]:
     yield from visit(tree, "", False)
 
 
+def _type_of(x: ast.AST | None) -> str | None:
+    """The name of a type that is written as a name, a dotted name, a text, or one of these or None."""
+    if isinstance(x, ast.Constant) and isinstance(x.value, str):
+        return x.value.rsplit(".", 1)[-1] if re.fullmatch(r"[\w.]+", x.value) else None
+    if isinstance(x, ast.BinOp):
+        sides = [t for t in (_type_of(x.left), _type_of(x.right)) if t]
+        return sides[0] if len(sides) == 1 else None
+    return x.id if isinstance(x, ast.Name) else x.attr if isinstance(x, ast.Attribute) else None
+
+
 def _module(path: str, level: int, module: str | None) -> str:
     """Path of the module that `from ..module import` names in the file at path."""
     folder = path.split("/")[:-level] if level else []
@@ -171,6 +197,22 @@ def _called(x: ast.AST) -> str | None:
     return x.id if isinstance(x, ast.Name) else x.attr if isinstance(x, ast.Attribute) else None
 
 
+#: What a declaration's line says of its supertypes, and of what it returns, after its name.
+_SUPERS = (("extends", r"\bextends\s+([\w.]+)"), ("extends", r"\bclass\s+\w+\s*<\s*([\w:]+)"), ("implements", r"\bimplements\s+([\w.,\s]+)"))
+_RETURNS = {"typescript": r"\)\s*:\s*([A-Z]\w*)", "tsx": r"\)\s*:\s*([A-Z]\w*)", "java": r"\b([A-Z]\w*)(?:<[^()]*>)?\s+{name}\s*\(", "csharp": r"\b([A-Z]\w*)(?:<[^()]*>)?\s+{name}\s*\(", "kotlin": r"\)\s*:\s*([A-Z]\w*)", "go": r"\)\s*\*?([A-Z]\w*)\s*\{{", "rust": r"->\s*&?([A-Z]\w*)"}
+
+
+def _said_of(language: str, kind: str, name: str, qualified: str, at: int, line: str) -> Iterator[tuple]:
+    """Supertypes of a type and the type that a function returns, as far as one line tells."""
+    if kind in ("class", "interface"):
+        for what, pattern in _SUPERS:
+            for m in re.finditer(pattern, line):
+                for one in filter(None, (x.strip() for x in m[1].split(","))):
+                    yield "ref", what, re.split(r"[.:]", one)[-1], None, at, None, qualified, None, None
+    elif kind in ("function", "method") and language in _RETURNS and (m := re.search(_RETURNS[language].format(name=re.escape(name)), line)):
+        yield "type", "returns", m[1], qualified, at, None, None, None, None
+
+
 def _by_lines(language: str, text: str) -> Iterator[tuple]:
     """Rows of a file of another language, by declarations and calls in each line; bodies end where the next declaration of the same depth begins."""
     lines, found = text.split("\n"), []
@@ -188,6 +230,7 @@ def _by_lines(language: str, text: str) -> Iterator[tuple]:
         qualified = f"{owner}::{name}" if owner else name
         owners.append((i, depth, qualified))
         yield "node", kind, name, qualified, i, end, owner, None, bool(re.search(r"\b(export|public|pub)\b", lines[i - 1])) or language == "go" and name[0].isupper()
+        yield from _said_of(language, kind, name, qualified, i, lines[i - 1])
         declared = {(a, n) for a, _, _, n in found}
         inner_end = next((j for j, d, _, _ in found[k + 1 :] if d > depth), end + 1) - 1 if kind in ("class", "interface", "struct", "trait", "module", "enum") else end
         for j in range(i, inner_end + 1):
@@ -197,7 +240,7 @@ def _by_lines(language: str, text: str) -> Iterator[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """what (node, ref, import, export or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
+    """what (node, ref, type, import, export or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
 
     files: path, text, language. Python is parsed; other languages are read by lines, which finds declarations and calls
     but not types. A file that cannot be parsed gives one error row. One pass, no shuffle.
@@ -239,9 +282,22 @@ def exports_of(extracted: DataFrame) -> DataFrame:
 
 def graph_of(extracted: DataFrame) -> tuple[Graph, DataFrame]:
     """(nodes and contains edges, references: ref_id, from_id, ref_name, ref_kind, ref_file, ref_line, ref_language)."""
-    nodes = extracted.where("what = 'node'").drop("what").withColumn("id", F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "file_path")).otherwise(node_id()))
+    gives = extracted.where("what = 'type' and kind = 'returns'").groupBy("file_path", "qualified_name", "start_line").agg(F.min("name").alias("return_type"))
+    nodes = extracted.where("what = 'node'").drop("what").join(gives, ["file_path", "qualified_name", "start_line"], "left").withColumn("id", F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "file_path")).otherwise(node_id()))
     owners = nodes.select("file_path", F.when(F.col("kind") == "file", "").otherwise(F.col("qualified_name")).alias("owner"), F.col("id").alias("source"))
     edges = nodes.where("kind != 'file'").join(owners, ["file_path", "owner"]).select("source", F.col("id").alias("target"), F.lit("contains").alias("kind"), F.col("start_line").alias("line"))
     refs = extracted.where("what = 'ref'").join(owners, ["file_path", "owner"])
     refs = refs.select(F.xxhash64("source", "name", "kind", "start_line").alias("ref_id"), F.col("source").alias("from_id"), F.col("name").alias("ref_name"), F.col("kind").alias("ref_kind"), F.col("file_path").alias("ref_file"), F.col("start_line").alias("ref_line"), F.col("language").alias("ref_language"))
     return Graph(nodes, valid_edges(edges, nodes)), refs.distinct()
+
+
+def receiver_types(extracted: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ref_id, type: the declared type of what a call is made on (`thing.run`): that of the variable of the nearest scope around the call, of its last
+    declaration there. Scopes around a call are listed by name, a row each."""
+    said = extracted.where("what = 'type' and kind = 'variable'").groupBy("file_path", F.col("owner").alias("scope"), F.col("name").alias("receiver")).agg(F.max_by("qualified_name", "start_line").alias("type"))
+    places = nodes.select(F.col("id").alias("from_id"), F.when(F.col("kind") == "file", "").otherwise(F.col("qualified_name")).alias("_at"))
+    calls = refs.withColumn("receiver", F.regexp_extract("ref_name", r"^(\w+)\.\w+$", 1)).where("receiver != ''").join(places, "from_id")
+    parts = F.filter(F.split("_at", "::"), lambda x: x != "")
+    around = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "::"))
+    listed = calls.select("ref_id", F.col("ref_file").alias("file_path"), "receiver", F.posexplode(around).alias("_depth", "scope"))
+    return listed.join(said, ["file_path", "scope", "receiver"]).groupBy("ref_id").agg(F.max_by("type", "_depth").alias("type"))

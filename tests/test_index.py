@@ -72,3 +72,26 @@ def test_nothing_to_resolve(spark, graph):
     nodes = graph.graph.nodes
     assert names.cascade(none, nodes).count() == 0
     assert names.possible(none, nodes.limit(0)).count() == 0
+
+
+def test_receivers_of_known_types_and_inherited_methods(spark, tmp_path):
+    texts = {
+        "lib/base.py": "class Base:\n    def run(self):\n        return 1\n\n    def stop(self):\n        return 2\n",
+        "lib/mid.py": "from lib.base import Base\n\n\nclass Mid(Base):\n    def stop(self):\n        return 3\n",
+        "lib/decoy.py": "class Decoy:\n    def run(self):\n        return 0\n\n    def stop(self):\n        return 0\n",
+        "app/use.py": (
+            "from lib.mid import Mid\n\n\nclass Holder:\n    def __init__(self, first: Mid):\n        self.kept = Mid()\n\n    def go(self):\n        self.kept.run()\n\n\ndef typed(x: 'Mid | None', y: Mid | None):\n    y.run()\n    y.stop()\n\n\n"
+            "def local():\n    z = Mid()\n    z.run()\n\n\ndef make() -> Mid:\n    return Mid()\n"
+        ),
+        "web/shapes.ts": "export class Shape {\n}\nexport interface Drawn {\n}\nexport class Box extends Shape implements Drawn {\n}\n",
+    }
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    g = SymbolGraph.index(spark, str(tmp_path))
+    got = edges(g)
+    for caller, method, file in (("go", "run", "lib/base.py"), ("typed", "run", "lib/base.py"), ("typed", "stop", "lib/mid.py"), ("local", "run", "lib/base.py")):
+        assert (caller, "calls", method, file) in got and (caller, "calls", method, "lib/decoy.py") not in got, (caller, method)
+    assert ("Mid", "extends", "Base", "lib/base.py") in got
+    assert ("Box", "extends", "Shape", "web/shapes.ts") in got and ("Box", "implements", "Drawn", "web/shapes.ts") in got
+    assert {r["return_type"] for r in g.graph.nodes.where("name = 'make'").collect()} == {"Mid"}
