@@ -221,9 +221,9 @@ def sample(docs: DataFrame, per_label: int) -> DataFrame:
 
 
 def train(docs: DataFrame, per_label: int = 300, longest: int = 20_000, **options) -> Model:
-    """Fit on at most per_label documents of each language (per_label x languages rows come to the driver), those of
-    at most `longest` characters. docs: the rows that may be learned from, with doc_id, text and lang."""
-    rows = sample(docs.where(F.length("text") <= longest), per_label).select("doc_id", "text", "lang").collect()
+    """Fit on at most per_label documents of each language (per_label x languages rows come to the driver), and of a longer text on its
+    first `longest` characters, so a language of long texts only is learned too. docs: the rows that may be learned from, with doc_id, text and lang."""
+    rows = sample(docs, per_label).select("doc_id", F.left("text", F.lit(longest)).alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows], **options)
 

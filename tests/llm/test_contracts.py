@@ -188,6 +188,16 @@ def test_language(spark, sf):
         assert (r["lang_pred"] == "und") == (text is None or not re.search(r"[^\W\d_]", text))
 
 
+def test_language_of_long_texts_only(spark):
+    """A language whose labelled texts are all beyond the bound is learned from their beginnings."""
+    made = [(i, " ".join(["alpha bravo charlie", "delta echo foxtrot"][i % 2].split()) + " golf hotel" * (1 + i % 3), "aa") for i in range(20)]
+    made += [(100 + i, "ünö düü trïï quättrö " * 60 + "cïnq " * i, "bb") for i in range(20)]
+    docs = spark.createDataFrame([*made, (None, "x", "aa"), (7, None, "bb"), (8, "x y", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, longest=400)
+    got = langid.predict(spark.createDataFrame([(1, "düü quättrö ünö trïï"), (2, "bravo echo hotel")], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "bb", 2: "aa"}
+
+
 def test_language_shares_of_mixed_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs)
