@@ -17,10 +17,12 @@ from graphmill.llm.common import LOWER, NOT_ALNUM, map_batches, text_blocks, wor
 
 # Elements of HTML by role.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "object", "textarea", "select", "canvas", "audio", "video")
+#: Of these, elements whose text stands in for something else; outside a head it is a block like others, which the labeller judges.
+FALLBACKS = frozenset("noscript object audio video".split())
 #: Elements that may stand in a head; the first other one ends it, as its tags may be omitted.
 IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template object".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-CLOSES_P = BLOCKS - {"button", "label", "option", "optgroup", "legend"}
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()) | FALLBACKS
+CLOSES_P = BLOCKS - FALLBACKS - {"button", "label", "option", "optgroup", "legend"}
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")(?=[\s>/])(?P<own>[^>]*)>|<[!?][^>]*(?:>|\Z)"
@@ -41,6 +43,7 @@ class Leaf(NamedTuple):
 
 def leaves(page: str | None) -> list[Leaf]:
     """The leaf blocks of a page in order. Scripts, styles, comments and the head have none; unclosed elements end with what holds them.
+    What noscript, object, audio and video hold is a block outside the head.
 
     The head, tagged or not, ends at its end tag or before the first element or text that cannot stand in it.
     """
@@ -77,8 +80,8 @@ def leaves(page: str | None) -> list[Leaf]:
     while m := _MARKUP.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        if m["raw"]:
-            raw = m["raw"].lower()
+        raw = (m["raw"] or "").lower()
+        if raw and (in_head or raw not in FALLBACKS):
             in_head = in_head and raw in IN_HEAD
             if raw == "svg" and re.search(r"(?:^|[\s\"'])/\Z", m["own"]):
                 continue
@@ -87,10 +90,9 @@ def leaves(page: str | None) -> list[Leaf]:
             else:  # hidden up to the end of the innermost block that has one
                 at = next((end.start() for tag, _ in reversed(stack) if (end := end_of(tag))), len(page))
             continue
-        tag = m["tag"]
+        tag, closing, attributes = raw or (m["tag"] or "").lower(), m["end"], m["own"] or m["attributes"]
         if not tag:
             continue
-        tag, closing = tag.lower(), m["end"]
         if in_head:
             if tag == "title" and not closing:
                 end = end_of(tag)
@@ -115,7 +117,7 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if stack and stack[-1][0] == "p" and tag in CLOSES_P or stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
             stack.pop()
-        names = [f".{p.lower()}" for v in _NAMES.findall(m["attributes"]) for p in _PARTS.findall(v)] if m["attributes"] else []
+        names = [f".{p.lower()}" for v in _NAMES.findall(attributes) for p in _PARTS.findall(v)] if attributes else []
         stack.append((tag, (*(stack[-1][1] if stack else ()), tag, *names)))
     add(page[at:])
     flush()
@@ -274,11 +276,13 @@ class Labeller:
 
 # ---- labelled pages to learn from ----------------------------------------------------------------
 
-_MAIN = (("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", ".content"), ("div", ".post", ".body"), ("div", ".entry", ".content"), ("section", ".article", ".body"), ("div", ".story"), ("div", ".container", "article", ".post"), ("div", ".wrapper", "main", "div", ".text"), ("div", ".page", "section", ".entry"))
-_INNER = (("p",), ("p",), ("p",), ("h2",), ("h3",), ("ul", "li"), ("blockquote", "p"), ("blockquote",), ("pre",), ("figure", "figcaption"), ("table", "tr", "td"), ("div",), ("ol", "li"), ("section", "p"), ("dl", "dd"))
+_MAIN = (("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", ".content"), ("div", ".post", ".body"), ("div", ".entry", ".content"), ("section", ".article", ".body"), ("div", ".story"), ("div", ".container", "article", ".post"), ("div", ".wrapper", "main", "div", ".text"), ("div", ".page", "section", ".entry"), (), ("div",), ("section",))
+#: A title, and what an article may begin with, where its frame says that it is one.
+_HEADS = (("h1",), ("h1",), ("h2",), ("header", "h1"), ("header", "h1"), ("header", "h2"), ("header", "p"), ("header", "div", "h1"))
+_INNER = (("p",), ("p",), ("p",), ("h2",), ("h3",), ("ul", "li"), ("blockquote", "p"), ("blockquote",), ("pre",), ("figure", "figcaption"), ("table", "tr", "td"), ("div",), ("ol", "li"), ("section", "p"), ("dl", "dd"), ("div", ".note"), ("div", ".note", "p"), ("div", ".box"), ("div", ".info", "p"), ("details", "summary"), ("details", "p"), ("noscript", "p"), ())
 _NOISE = {
     "before": (
-        (("nav", "ul", "li"), "link"), (("div", ".menu", "ul", "li"), "link"), (("header", "div", ".logo"), "short"), (("header", "h1"), "short"), (("header", "p"), "text"), (("header", "nav", "ul", "li"), "link"), (("div", ".header", "div"), "short"), (("div", ".navbar", "ul", "li"), "link"), (("div", ".breadcrumb", "ol", "li"), "link"), (("div", ".navigation"), "link"), (("div", ".top", ".bar"), "short"), (("div", ".masthead", "p"), "short"), (("ul", ".nav", "li"), "link"), (("div", ".skip"), "link"),
+        (("nav", "ul", "li"), "link"), (("div", ".menu", "ul", "li"), "link"), (("header", "div", ".logo"), "short"), (("header", "h1"), "short"), (("header", "p"), "text"), (("header", "nav", "ul", "li"), "link"), (("div", ".header", "div"), "short"), (("div", ".navbar", "ul", "li"), "link"), (("div", ".breadcrumb", "ol", "li"), "link"), (("div", ".navigation"), "link"), (("div", ".top", ".bar"), "short"), (("div", ".masthead", "p"), "short"), (("ul", ".nav", "li"), "link"), (("div", ".skip"), "link"), (("table", "tr", "td"), "link"), (("table", "tbody", "tr", "td"), "link"), (("table", "tr", "td", "ul", "li"), "link"), (("noscript",), "text"), (("noscript", "p"), "text"), (("noscript", "div"), "text"),
     ),
     "any": (
         (("div", ".ad"), "text"), (("div", ".ads"), "text"), (("div", ".advert"), "text"), (("div", ".advertisement", "p"), "text"), (("aside", ".ad"), "text"), (("div", ".banner"), "text"), (("div", ".promo", "p"), "text"), (("div", ".sponsored"), "text"), (("div", ".sponsor", "p"), "text"),
@@ -310,6 +314,11 @@ def made_pages(n: int, seed: int = 3) -> tuple[list[list[Leaf]], list[np.ndarray
 
     pages, labels = [], []
     for _ in range(n):
+        if rng.random() < 0.12:  # nothing around the article: one block, bare or in a frame, or plain ones
+            main, inner = pick(((), (), (), *_MAIN)), pick(((), (), ("p",), ("pre",)))
+            pages.append([Leaf(("html", "body", *main, *inner), *text("text")) for _ in range(1 if inner != ("p",) or rng.random() < 0.5 else rng.integers(2, 8))])
+            labels.append(np.ones(len(pages[-1]), np.float32))
+            continue
         outer = pick(((), (), ("div", ".page"), ("div", ".site"), ("div", ".wrapper"), ("div", ".container"), ("div",)))
         main = (*outer, *pick(_MAIN))
         page: list[tuple[Leaf, int]] = []
@@ -323,7 +332,8 @@ def made_pages(n: int, seed: int = 3) -> tuple[list[list[Leaf]], list[np.ndarray
         noise("before", 3, outer)
         noise("any", 2, outer)
         if rng.random() < 0.85:
-            page.append((Leaf(("html", "body", *main, pick(("h1", "h1", "h2"))), *text("text")), 1))
+            heads = _HEADS if {"article", ".article", "main"} & {*main} else _HEADS[:3]
+            page += [(Leaf(("html", "body", *main, *pick(heads)), *text("text")), 1) for _ in range(rng.integers(1, 3))]
         one = rng.random() < 0.3
         for _ in range(rng.integers(1, 25) if rng.random() < 0.85 else rng.integers(25, 120)):
             page.append((Leaf(("html", "body", *main, *(("p",) if one else pick(_INNER))), *text("text" if rng.random() < 0.9 else "short")), 1))
