@@ -371,3 +371,47 @@ def test_null_ids_and_repeated_rows(spark):
     assert decontaminate.contaminated(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).where("n_hit = 80").count() == 4
     removed = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in phrases.dedup_phrases(docs).collect()}
     assert removed[None, 80] == 0 and removed[3, 80] == 80
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("This is a page of bare text that has nothing around it at all, and goes on for a while.", None),
+        ("<div>First line of the article.<br>Second line of it, a bit longer.<br>Third.</div>", ["First line of the article. Second line of it, a bit longer. Third."]),
+        ("<html><body><p>First paragraph, which is quite long and says something.</p><p>Second one.</p></body></html>", ["First paragraph, which is quite long and says something.", "Second one."]),
+        ("<body><article><header><h1>The title of it</h1></header><p>Text of the article goes here.</p><p>More text of it, and more.</p></article>", ["The title of it", "Text of the article goes here.", "More text of it, and more."]),
+        ("<nav><a href=x>Home</a></nav><article><p>Text of the article goes here.</p><div class='note'>A note box in it that matters.</div><details><summary>More on this</summary><p>Details of it are here.</p></details></article><footer>(c) us</footer>", ["Text of the article goes here.", "A note box in it that matters.", "More on this", "Details of it are here."]),
+        ("<table><tr><td><a href=x>Home</a></td><td><a href=y>News</a></td></tr></table><article><h1>Title</h1><p>Text of the article goes here.</p></article>", ["Title", "Text of the article goes here."]),
+        ("<head><noscript><img src=x></noscript><title>T</title></head><noscript>Please enable JavaScript to see this.</noscript><article><p>Text of the article.</p><noscript><p>A picture of a cat in a hat.</p></noscript></article>", ["Text of the article.", "A picture of a cat in a hat."]),
+    ],
+)
+def test_plain_pages_keep_their_text(spark, page, want):
+    """Pages of one block, bare text, headers and notes within articles; menus in layout tables go."""
+    row = (1, page, "u", 3, "x")
+    got = html.extract(spark.createDataFrame([row, row], "page_id long, html string, url string, n_chars int, blocks string")).collect()
+    assert [r["text"] for r in got] == ["\n\n".join(want or [page])] * 2
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<p>Paragraph {i} of a very long article, with {i % 7} words more.</p>" for i in range(6000)) + f"<p>{'word ' * 200_000}</p>"
+    got = html.extract(spark.createDataFrame([(1, "u", f"<nav><a href=/>Home</a></nav><article>{body}</article>")], "page_id long, url string, html string")).collect()
+    assert got[0]["text"].count("\n\n") == 6000 and got[0]["n_chars"] == len(got[0]["text"])
+
+
+def test_vectors_of_two_lengths_repeats_and_clashing_columns(spark):
+    """Each length is searched apart; repeated rows count once; ties go to the smaller vec_id."""
+    rng = np.random.default_rng(4)
+    made = {i: [float(x) for x in rng.normal(size=8 if i % 3 else 5)] for i in range(300)}
+    made |= {50: made[3][:], 301: [1.0] * 8, 302: [2.0] * 8, 303: None, 304: [0.0] * 5, 305: [1.0, None, 1.0, 1.0, 1.0], 350: [3.0] * 8, 400: [1.0, 2.0]}
+    rows_ = [(i, v, 1, "k", 0.5) for i, v in made.items()] + [(3, made[3], 2, "k", 0.1), (None, [1.0] * 8, 1, "k", 0.0)]
+    got = {}
+    for r in ann.neighbours_of_rows(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, id int, unit string, score double")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    fine = {i: np.array(v) for i, v in made.items() if v and None not in v and any(v)}
+    for q in (i for i in fine if i % 50 == 0):
+        scores = sorted((-round(float(fine[q] @ v / np.linalg.norm(fine[q]) / np.linalg.norm(v)), 12), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
+        if scores:
+            want[q] = [i for _, i in scores[:5]]
+    assert {q: [i for _, i, _ in sorted(v)] for q, v in got.items()} == want
+    assert [i for _, i, _ in sorted(got[350])][:2] == [301, 302] and 400 not in got
