@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.functions.predicates import is_test, matches_symbol, name_glob, under
-from graphmill.operators import analytics, boundaries, modules, names, resolve, search, textindex, tools, traverse, walk
+from graphmill.operators import analytics, boundaries, frameworks as web, modules, names, resolve, search, textindex, tools, traverse, walk
 from graphmill.schema import Graph
 from graphmill.sources import code, tree
 
@@ -22,22 +22,26 @@ class SymbolGraph:
 
     @classmethod
     def index(
-        cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = (), include_ignored: list[str] | None = None, extensions: dict[str, str] | None = None
+        cls, spark: SparkSession, root: str, ignore: list[str] | None = None, resolvers: Sequence[tuple[str, names.Resolver]] = (), include_ignored: list[str] | None = None, extensions: dict[str, str] | None = None,
+        frameworks: Sequence[web.Framework] = web.BUILT_IN,
     ) -> SymbolGraph:
         """Scan, extract and resolve a folder of source files. ignore: rules beside those of the ignore files; include_ignored: ignored folders whose repositories
-        are read; extensions: languages of further endings. resolvers: further strategies by name, such as those of a framework."""
+        are read; extensions: languages of further endings. resolvers: further strategies by name. frameworks: those that are
+        looked for; routes of the ones that the project uses become nodes, with references to what handles them."""
         scanned = store.settled(tree.scan_tree(spark, root, ignore, include_ignored, extensions, configs=True), "scanned")
         configs, files = scanned.where("language = 'config'").select("path", "text"), scanned.where("language != 'config'")
         extracted = store.settled(code.extract(files), "extracted")
         graph, refs = code.graph_of(extracted)
-        refs = store.settled(refs, "refs")
-        nodes = store.settled(graph.nodes, "nodes")
+        using = web.detected(scanned, frameworks)
+        routes, handled = web.routes(files, graph.nodes, using)
+        refs = store.settled(refs.unionByName(handled), "refs")
+        nodes = store.settled(graph.nodes.unionByName(routes, allowMissingColumns=True), "nodes")
         imports, exports = (store.settled(modules.with_files(f(extracted), files, configs), "imports") for f in (code.imports_of, code.exports_of))
         # A module is known by its file without the ending, however its path was written.
         bare = F.regexp_replace("target_path", r"(/(index|__init__|mod))?\.[^./]*$", "")
         imports = imports.withColumn("module", F.when(F.col("spec").isNotNull() & F.col("target_path").isNotNull(), bare).otherwise(F.col("module")))
-        asked = store.settled(names.possible(names.without_built_ins(refs, nodes), nodes, imports), "asked")
-        plugins = [("import", lambda r, n: names.by_import(r, n, imports)), ("import", lambda r, n: modules.by_reexport(r, n, imports, exports)), *resolvers]
+        asked = store.settled(names.possible(names.without_built_ins(refs, nodes), nodes, imports).unionByName(web.claimed(refs, using)).distinct(), "asked")
+        plugins = [("import", lambda r, n: names.by_import(r, n, imports)), ("import", lambda r, n: modules.by_reexport(r, n, imports, exports)), *web.strategies(using), *resolvers]
         types = store.settled(code.receiver_types(extracted, asked, nodes), "types")
         found = names.until_settled(asked, nodes, types, plugins)
         made = found.join(refs, "ref_id").where("from_id != target").select(

@@ -12,10 +12,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphmill.plans import catalogue, dispatch, resolution, serving
+from graphmill.plans import catalogue, dispatch, projects, resolution, serving
 
-QUERIES = catalogue.QUERIES | resolution.QUERIES | serving.QUERIES | dispatch.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | resolution.ORACLE_SQL | serving.ORACLE_SQL | dispatch.ORACLE_SQL
+QUERIES = catalogue.QUERIES | resolution.QUERIES | serving.QUERIES | dispatch.QUERIES | projects.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | resolution.ORACLE_SQL | serving.ORACLE_SQL | dispatch.ORACLE_SQL | projects.ORACLE_SQL
 
 
 def plain(v):
