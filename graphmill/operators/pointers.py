@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.operators.intervals import top_per_group
@@ -14,24 +14,80 @@ from graphmill.store import settled
 FAN_OUT = 300
 
 
-def points_to(bound: DataFrame, copies: DataFrame) -> DataFrame:
-    """slot, target: what every slot may hold. bound: slot, target; copies: to_slot, from_slot (what the second holds, the first may hold).
+def _first(held: DataFrame, keep: int | None) -> DataFrame:
+    """slot, target: all of them, or of each slot the first `keep` by target."""
+    return held if keep is None else top_per_group(held, ["slot"], ["target"], keep).drop("rank")
 
-    Semi-naive: a round joins only what the round before found with the copies, and keeps what is new, so no fact is joined twice. Each round is a
-    table of its own; none is written again. Ends when a round finds nothing: there are at most as many rounds as slots in a row of copies.
-    """
-    c = settled(copies.select("to_slot", "from_slot").where("to_slot != from_slot").distinct(), "copies")
-    new = settled(bound.select("slot", "target").distinct(), "facts")
-    rounds = [new]
-    while True:
-        found = new.join(c, new["slot"] == c["from_slot"]).select(F.col("to_slot").alias("slot"), "target").distinct()
+
+def _fixpoint(held: DataFrame, copies: DataFrame, keep: int | None) -> DataFrame:
+    """What slots hold after copies. Semi-naive: a round joins only what the round before found with the copies, and keeps what is new. Each round
+    is a table of its own; none is written again. With `keep`, a target behind the first `keep` of its slot is not handed on."""
+    new, rounds = held, [held]
+    while not new.isEmpty():
+        found = new.join(copies, new["slot"] == copies["from_slot"]).select(F.col("to_slot").alias("slot"), "target").distinct()
+        if keep is not None:
+            found = _first(reduce(DataFrame.union, rounds, found).distinct(), keep)
         new = settled(reduce(lambda df, old: df.join(old, ["slot", "target"], "left_anti"), rounds, found), "facts")
-        if new.isEmpty():
-            return reduce(DataFrame.union, rounds)
         rounds.append(new)
         # A long row of copies makes many small tables; they are put together, so that a round reads few.
         if len(rounds) == 8:
-            rounds = [settled(reduce(DataFrame.union, rounds), "facts")]
+            rounds = [settled(_first(reduce(DataFrame.union, rounds), keep), "facts")]
+    return settled(_first(reduce(DataFrame.union, rounds), keep), "facts")
+
+
+def shared_sets(bound: DataFrame, copies: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(slot, of; of, target): what every slot may hold, where slots that hold the same may name one set; of each, the first `keep` by target.
+
+    A slot that copies from one other holds its own targets and those of the other. So it is taken out: those it is copied to get its targets and copy
+    from the other. A round takes out no two slots that copy from each other and about a third of any long row or ring of copies, so rounds grow with the
+    logarithm of its length; what is left (slots that copy from several) goes to the fixpoint. Then slots come back in reverse order, with the set
+    of the slot they copy from where it holds all their own, else with a set of their own.
+    """
+    edges = settled(copies.select("to_slot", "from_slot").where("to_slot != from_slot").distinct(), "copies")
+    now = settled(_first(bound.select("slot", "target").distinct(), keep), "facts")
+    out = []
+    while True:
+        draw = lambda x: F.struct(F.xxhash64(x, F.lit(len(out))).alias("h"), F.col(x).alias("x"))
+        single = edges.groupBy(F.col("to_slot").alias("slot")).agg(F.count("*").alias("n"), F.min("from_slot").alias("before")).where("n = 1").drop("n")
+        up = lambda x, y: single.select(F.col("slot").alias(x), F.col("before").alias(y))
+        met = single.join(up("before", "further"), "before", "left").join(up("further", "furthest"), "further", "left")
+        # Next to a slot that stays; or where the slot before draws more than both its neighbours and is itself not next to one that stays.
+        free = F.col("further").isNull() | (F.col("furthest").isNotNull() & (draw("slot") < draw("before")) & (draw("before") > draw("further")))
+        gone = settled(met.where(free).select("slot", "before"), "gone")
+        if gone.isEmpty():
+            break
+        left = edges.join(gone.select(F.col("slot").alias("to_slot")), "to_slot", "left_anti").join(gone.withColumnRenamed("slot", "from_slot"), "from_slot", "left")
+        moved = settled(left.select("to_slot", F.coalesce("before", "from_slot").alias("from_slot"), F.when(F.col("before").isNotNull(), F.col("from_slot")).alias("over")), "copies")
+        edges = moved.where("to_slot != from_slot").select("to_slot", "from_slot").distinct()
+        out.append((gone, now))
+        handed = moved.where("over is not null").select(F.col("over").alias("slot"), "to_slot").join(now, "slot").select(F.col("to_slot").alias("slot"), "target")
+        now = settled(_first(now.join(gone, "slot", "left_anti").union(handed).distinct(), keep), "facts")
+    if not edges.isEmpty():
+        now = _fixpoint(now, edges, keep)
+    sets = now.withColumnRenamed("slot", "of")
+    names = settled(now.select("slot", F.col("slot").alias("of")).distinct(), "names")
+    for gone, had in reversed(out):
+        own = had.join(gone, "slot").select("slot", "before", "target")
+        asked = gone.join(names.withColumnRenamed("slot", "before"), "before", "left").select("slot", "of")
+        new = own.select("slot", "target").join(asked, "slot").join(sets, ["of", "target"], "left_anti")
+        if keep is not None:
+            # A target behind the last of a full set is not among the first.
+            full = sets.groupBy("of").agg(F.count("*").alias("n"), F.max("target").alias("last")).where(F.col("n") >= keep).drop("n")
+            new = new.join(full, "of", "left").where("last is null or target < last")
+        apart = new.select("slot", F.lit(True).alias("apart")).distinct()
+        named = settled(asked.join(apart, "slot", "left").select("slot", F.col("of").alias("from"), F.when(F.col("apart"), F.col("slot")).otherwise(F.col("of")).alias("of")).where("of is not null"), "names")
+        alone = named.where("slot = of")
+        if not alone.isEmpty():
+            both = own.select("slot", "target").join(alone, "slot", "left_semi").union(alone.select("slot", F.col("from").alias("of")).join(sets, "of").select("slot", "target"))
+            sets = sets.union(settled(_first(both.distinct(), keep).withColumnRenamed("slot", "of").select("of", "target"), "facts"))
+        names = names.union(named.select("slot", "of"))
+    return settled(names, "names"), settled(sets, "facts")
+
+
+def points_to(bound: DataFrame, copies: DataFrame) -> DataFrame:
+    """slot, target: what every slot may hold. bound: slot, target; copies: to_slot, from_slot (what the second holds, the first may hold)."""
+    names, sets = shared_sets(bound, copies)
+    return names.join(sets, "of").select("slot", "target")
 
 
 def _slot(owner: str | Column, field: str | Column) -> Column:
@@ -131,10 +187,17 @@ def pointer_calls(facts: DataFrame, functions: DataFrame, fan_out: int = FAN_OUT
     """source, target, line, via: calls of functions that slots may hold; a pair of functions once, at its first line; of more than fan_out targets of
     one function, the first by line, slot and target. facts: of sources.pointers (settle them first: they are read several times); functions: id, name, file_path."""
     fields = settled(slots(facts), "fields")
-    held = points_to(bindings(facts, fields, functions), copies(facts, fields))
     in_arrays, array_calls = arrays(facts, functions)
+    # Of the targets of one site, at most fan_out are those of earlier sites and one is the caller; fan_out more are enough.
+    names, sets = shared_sets(bindings(facts, fields, functions).union(in_arrays), copies(facts, fields), 2 * fan_out + 1)
+    listed = sets.groupBy("of").agg(F.array_sort(F.collect_list("target")).alias("targets"))
     sites = calls(facts, fields).union(array_calls).distinct()
     sources = functions.select(F.col("id").alias("source"), F.col("name").alias("scope"), "file_path")
-    met = sites.join(sources, ["scope", "file_path"]).join(held.union(in_arrays), "slot").where("source != target")
-    once = met.groupBy("source", "target").agg(F.min(F.struct("line", "slot")).alias("first")).select("source", "target", "first.line", F.regexp_replace("first.slot", "^.*#", "").alias("via"))
-    return top_per_group(once, ["source"], ["line", "via", "target"], fan_out).select("source", "target", "line", "via")
+    asked = sites.join(sources, ["scope", "file_path"]).join(names, "slot").groupBy("source", "slot", "of").agg(F.min("line").alias("line"))
+    asked = asked.withColumn("via", F.regexp_replace("slot", "^.*#", "")).withColumn("sites", F.count("*").over(Window.partitionBy("source")))
+    met = settled(asked.select("source", "line", "via", "of", "sites"), "sites").join(listed, "of").withColumn("targets", F.filter("targets", lambda x: x != F.col("source")))
+    pairs = lambda df, targets: df.select("source", F.explode(targets).alias("target"), "line", "via")
+    # A function of one site needs no comparison of its targets with those of others.
+    once = pairs(met.where("sites > 1"), F.col("targets")).groupBy("source", "target").agg(F.min(F.struct("line", "via")).alias("first")).select("source", "target", "first.line", "first.via")
+    several = top_per_group(once, ["source"], ["line", "via", "target"], fan_out).select("source", "target", "line", "via")
+    return pairs(met.where("sites = 1"), F.slice("targets", 1, fan_out)).union(several)

@@ -126,3 +126,33 @@ def test_components_of_nothing_and_cyclic(spark):
     assert traverse.components(spark.createDataFrame([], "at string, to string")).count() == 0
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("b", "d")], "at string, to string")
     assert sorted(r["id"] for r in traverse.cyclic(e).collect()) == ["a", "b", "c"]
+
+
+def test_rings_of_copies_take_few_rounds(spark, monkeypatch):
+    """A ring of 400 slots, a row that hangs on it and one slot that copies from two: a round a slot would write hundreds of tables."""
+    written = []
+    monkeypatch.setattr(pointers, "settled", lambda df, name="step": written.append(name) or store.settled(df, name))
+    copies = [(f"r{(i + 1) % 400:03}", f"r{i:03}") for i in range(400)] + [(f"t{i}", f"t{i - 1}" if i else "r007") for i in range(6)] + [("both", "t5"), ("both", "apart")]
+    bound = [(f"r{i:03}", f"f{i:03}") for i in range(0, 400, 4)] + [("t2", "a"), ("t4", "f000"), ("apart", "b"), ("free", "f1")]
+    got = {}
+    for r in pointers.points_to(spark.createDataFrame(bound, "slot string, target string"), spark.createDataFrame(copies, "to_slot string, from_slot string")).collect():
+        assert r["target"] not in got.setdefault(r["slot"], set())
+        got[r["slot"]].add(r["target"])
+    ring = {f"f{i:03}" for i in range(0, 400, 4)}
+    want = {f"r{i:03}": ring for i in range(400)} | {f"t{i}": ring | ({"a"} if i >= 2 else set()) for i in range(6)}
+    assert got == want | {"both": ring | {"a", "b"}, "apart": {"b"}, "free": {"f1"}}
+    assert len(written) < 150
+
+
+def test_first_targets_of_shared_sets(spark):
+    """With `keep`, every slot's set is the first of what it may hold, on graphs with rings and slots that copy from several."""
+    draw = random.Random(11)
+    copies = {(f"s{draw.randrange(30)}", f"s{draw.randrange(30)}") for _ in range(34)}
+    bound = {(f"s{draw.randrange(30)}", f"f{draw.randrange(60):02}") for _ in range(70)}
+    held = {s: {t for x, t in bound if x == s} for s in {x for c in copies for x in c} | {x for x, _ in bound}}
+    for _ in held:
+        for a, b in copies:
+            held[a] |= held[b]
+    names, sets = pointers.shared_sets(spark.createDataFrame(list(bound), "slot string, target string"), spark.createDataFrame(list(copies), "to_slot string, from_slot string"), 5)
+    got = {r["slot"]: sorted(r["t"]) for r in names.join(sets, "of").groupBy("slot").agg(F.collect_list("target").alias("t")).collect()}
+    assert got == {s: sorted(t)[:5] for s, t in held.items() if t}
