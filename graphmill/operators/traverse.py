@@ -154,6 +154,8 @@ def file_graph(graph: Graph) -> DataFrame:
 
 def affected_files(files: DataFrame, changed: DataFrame, is_test: F.Column, depth: int = 5) -> DataFrame:
     """id, depth: test files that depend on a changed file; the search goes no further than a test file. is_test: of column id."""
+    # Every level reads the pairs again, so they are written once.
+    files = settled(files.select("source_file", "target_file"), "files")
     moves = files.select(F.col("target_file").alias("at"), F.col("source_file").alias("to"))
     tests = files.select(F.col("source_file").alias("id")).union(files.select(F.col("target_file").alias("id"))).distinct().where(is_test)
     return reach(moves, changed, depth, stop=tests).where(is_test)
