@@ -137,44 +137,52 @@ def stretches(candidates: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def occurrences(passages: list[tuple[int, str]], texts: list[tuple[int, str]], window: int) -> Iterator[tuple[int, int, int]]:
-    """(index of a text, first word, after the last) wherever window or more words of a passage with a smaller
-    document stand in it. passages and texts: (doc_id, words joined by one space).
+    """(index of a text, first word, after the last) wherever windows of passages with a smaller document stand in it, joined where they
+    overlap. passages and texts: (doc_id, words joined by one space).
 
-    Every passage is cut into blocks of half a window, at least one of which lies whole in every window; one pass
-    of the automaton finds the blocks, and words are compared along each diagonal so found.
+    Every passage is cut into blocks of half a window, at least one of which lies whole in every window; one pass of the automaton finds the
+    blocks. Each window of the text around a found block is then looked up whole, once, so what a text costs does not grow with the number of
+    passages that share its blocks (near copies by the thousand do).
     """
     import ahocorasick
 
     half = max(1, (window + 1) // 2)
     number: dict[str, int] = {}
-    words = [tuple(number.setdefault(w, len(number) + 1) for w in text.split(" ")) for _, text in passages]
-    places: dict[tuple, list[tuple[int, int]]] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    words = [tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")]) for _, text in passages]
+    #: By the hash of a window: its passage and place, of equal windows in the smallest document; one for each different window.
+    places: dict[int, list[tuple[int, int]]] = {}
     for p, seq in enumerate(words):
         for at in range(0, len(seq) - half + 1, half):
-            places.setdefault(seq[at : at + half], []).append((p, at))
-    if not places:
+            automaton.add_word(seq[at : at + half])
+        for at in range(len(seq) - window + 1):
+            key = seq[at : at + window]
+            same = places.setdefault(hash(key), [])
+            i = next((i for i, (q, b) in enumerate(same) if words[q][b : b + window] == key), None)
+            if i is None:
+                same.append((p, at))
+            elif passages[p][0] < passages[same[i][0]][0]:
+                same[i] = (p, at)
+    if not len(automaton):
         return
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, where in places.items():
-        automaton.add_word(key, where)
     automaton.make_automaton()
     get = number.get
     for t, (doc, text) in enumerate(texts):
         seq = tuple([get(w, 0) for w in text.split(" ")])
-        diagonals = {(p, end - half + 1 - at) for end, where in automaton.iter(seq) for p, at in where if passages[p][0] < doc}
-        for p, shift in diagonals:
-            other = words[p]
-            a, z = max(0, shift), min(len(seq), len(other) + shift)
-            if seq[a:z] == other[a - shift : z - shift]:
-                if z - a >= window:
-                    yield t, a, z
-                continue
-            began = a
-            for i in range(a, z + 1):
-                if i == z or seq[i] != other[i - shift]:
-                    if i - began >= window:
-                        yield t, began, i
-                    began = i + 1
+        began = after = tried = 0
+        for end, _ in automaton.iter(seq):
+            # Windows that hold the block; those before `tried` were looked up for an earlier block.
+            for i in range(max(tried, end + 1 - window), min(end + 1 - half, len(seq) - window) + 1):
+                key = seq[i : i + window]
+                if any(passages[p][0] < doc and words[p][at : at + window] == key for p, at in places.get(hash(key), ())):
+                    if i > after:
+                        if after:
+                            yield t, began, after
+                        began = i
+                    after = i + window
+            tried = max(tried, end + 2 - half)
+        if after:
+            yield t, began, after
 
 
 def repeats(rows: DataFrame, surveyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:

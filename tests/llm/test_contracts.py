@@ -58,6 +58,31 @@ def test_phrases_other_window(edges):
     assert rows(phrases.dedup_phrases(edges, 12, 4), *PHRASES) == brute.phrases(EDGES, 12)
 
 
+def test_phrases_of_near_copies_are_looked_up_once():
+    # Passages that differ in one word share nearly all blocks; each text used to be compared with every one of them.
+    looked_up = []
+
+    class Doc(int):
+        def __lt__(self, other):
+            if not isinstance(other, Doc):
+                looked_up.append(1)
+            return int(self) < int(other)
+
+    def copy(i):
+        return " ".join(f"w{k}" if k != i % 113 else f"own{i}" for k in range(113))
+
+    passages = [(Doc(i), copy(i)) for i in range(400)]
+    texts = [(1000 + i, copy(2000 + i)) for i in range(20)]
+    found = list(phrases.occurrences(passages, texts, 50))
+    assert {t for t, _, _ in found} == set(range(20))
+    covered = [sorted({i for t, a, z in found if t == n for i in range(a, z)}) for n in range(20)]
+    # All but the word of its own, and what stands nearer to an edge than a window.
+    for n, got in enumerate(covered):
+        own = (2000 + n) % 113
+        assert got == [i for i in range(113) if i < own and own >= 50 or i > own and 112 - own >= 50]
+    assert len(looked_up) <= 64 * 20
+
+
 def test_near(spark, sf, edges, documents):
     assert rows(Q["op3_minhash_near_dedup"](spark, sf), *NEAR) == brute.near(documents)
     assert rows(neardup.near_duplicates(edges, 2), *NEAR) == brute.near(EDGES)
