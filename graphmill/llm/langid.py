@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -142,7 +144,7 @@ def word_arrays(texts: pa.Array):
 
 
 def fit(texts: list[str], langs: list[str], slots: int = 1 << 16, lexicon_words: int = 2000, sequences: int = 3000, rounds: int = 3, seed: int = 11) -> Model:
-    """A model from labelled texts (a bounded sample, on the driver).
+    """A model from labelled texts (a bounded sample).
 
     Training chains are code-switched: runs of 4 to 24 consecutive words of texts of random
     languages, joined, so that transitions between languages are learned along with staying.
@@ -221,11 +223,19 @@ def sample(docs: DataFrame, per_label: int) -> DataFrame:
 
 
 def train(docs: DataFrame, per_label: int = 300, longest: int = 20_000, **options) -> Model:
-    """Fit on at most per_label documents of each language (per_label x languages rows come to the driver), and of a longer text on its
-    first `longest` characters, so a language of long texts only is learned too. docs: the rows that may be learned from, with doc_id, text and lang."""
-    rows = sample(docs, per_label).select("doc_id", F.left("text", F.lit(longest)).alias("text"), "lang").collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows], **options)
+    """Fit on at most per_label documents of each language (per_label x languages rows meet in one task), and of a longer text on its
+    first `longest` characters, so a language of long texts only is learned too. docs: the rows that may be learned from, with doc_id, text and lang.
+
+    Only the model comes to the driver, so that neither the texts nor what fitting takes is added to its memory.
+    """
+    rows = sample(docs, per_label).select("doc_id", "lang", F.left("text", F.lit(longest)).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted(r for b in batches for r in zip(b["doc_id"].tolist(), b["lang"], b["text"]))
+        yield pd.DataFrame({"model": [pickle.dumps(tuple(fit([r[2] for r in found], [r[1] for r in found], **options)))]})
+
+    made = rows.repartition(1).mapInPandas(run, "model binary").collect()
+    return Model(*pickle.loads(bytes(made[0]["model"]))) if made else fit([], [], **options)
 
 
 class Labels:

@@ -223,6 +223,20 @@ def test_language_of_long_texts_only(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "bb", 2: "aa"}
 
 
+def test_language_is_learned_in_a_task(spark, sf, monkeypatch):
+    # What fitting takes used to stay in the driver's memory.
+    def here(*_, **__):
+        raise AssertionError("fitted on the driver")
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = sorted(langid.sample(docs, 20).select("doc_id", "lang", "text").collect())
+    want = langid.fit([r["text"] for r in rows], [r["lang"] for r in rows], sequences=50)
+    monkeypatch.setattr(langid, "word_arrays", here)
+    got = langid.train(docs, 20, sequences=50)
+    assert got.labels == want.labels and (got.lexicon == want.lexicon).all()
+    assert all(abs(a - b).max() < 1e-9 for a, b in zip(got[1:4], want[1:4]))
+
+
 def test_language_shares_of_mixed_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs)
