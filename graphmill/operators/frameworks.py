@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.lexer import code_only, without_comments
 from graphmill.operators.resolve import top_per_group
+from graphmill.store import settled
 
 #: Of a route: file_path, language, line, verb (null: none), url, ref_name (null: no handler), ref_kind.
 ROUTE = "file_path string, language string, line int, verb string, url string, ref_name string, ref_kind string"
@@ -86,10 +87,12 @@ def _script_routes(files: DataFrame, nodes: DataFrame) -> DataFrame:
     found = found.withColumn("url", _part("args", r"""^\s*['"]([^'"]+)['"]\s*,""")).where("url != '' and (what != 'use' or url like '/%')")
     after = _part("args", r"(?s)=>(.*)$")
     called = F.filter(F.array_distinct(F.regexp_extract_all(after, F.lit(r"\b([A-Za-z_$][\w$]*)\s*\("), 1)), lambda x: ~x.isin(*RESERVED, "if", "for", "while", "switch", "function"))
-    verb, arrow = F.upper("what"), F.contains("args", F.lit("=>"))
-    inline = found.where(arrow).withColumn("_called", F.explode_outer(called))
+    arrow = F.contains("args", F.lit("=>"))
     last = _part("args", r"(?s)(?:^|[.,\s])([A-Za-z_]\w*)\s*(?:\(\s*\))?[\s,]*$")
-    return _rows(inline, verb, F.col("url"), F.coalesce("_called", F.lit("")), F.lit("calls")).unionByName(_rows(found.where(~arrow), verb, F.col("url"), last, F.lit("references")))
+    # Both forms in one go: a union of them would read and parse the files twice.
+    handlers = F.when(~arrow, F.array(last)).when(F.size(called) > 0, called).otherwise(F.array(F.lit("")))
+    found = found.withColumn("_handler", F.explode(handlers))
+    return _rows(found, F.upper("what"), F.col("url"), F.col("_handler"), F.when(arrow, "calls").otherwise("references"))
 
 
 def _script_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,7 +184,8 @@ def detected(files: DataFrame, known: Sequence[Framework] = BUILT_IN) -> tuple[F
 def routes(files: DataFrame, nodes: DataFrame, using: Sequence[Framework]) -> tuple[DataFrame, DataFrame]:
     """(route nodes, references to what handles them) of files (path, text, language). A route is one node however many references it has; null texts
     and languages that no framework reads have none; a repeated file counts once."""
-    files = files.select("path", "text", "language").dropDuplicates(["path"])
+    # Written once: each framework reads the files, and both results read what was found.
+    files = settled(files.select("path", "text", "language").dropDuplicates(["path"]), "files")
     empty = files.sparkSession.createDataFrame([], ROUTE)
     found = empty
     for f in using:
@@ -190,7 +194,7 @@ def routes(files: DataFrame, nodes: DataFrame, using: Sequence[Framework]) -> tu
         found = found.unionByName(f.finish(got, files).select(*empty.columns) if f.finish else got)
     name = F.concat_ws(" ", "verb", "url")
     node = F.concat_ws(":", F.lit("route"), "file_path", F.col("line").cast("string"), "verb", "url")
-    found = found.withColumn("id", node).withColumn("name", name)
+    found = settled(found.withColumn("id", node).withColumn("name", name), "routes")
     made = found.groupBy("id").agg(*(F.min(c).alias(c) for c in ("name", "file_path", "language", "line", "url")))
     made = made.select("id", F.lit("route").alias("kind"), "name", F.concat("file_path", F.lit("::route:"), "url").alias("qualified_name"), "file_path", "language", F.col("line").alias("start_line"), F.col("line").alias("end_line"))
     refs = found.where("ref_name is not null").select(

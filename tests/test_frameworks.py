@@ -91,3 +91,9 @@ def test_an_index_with_frameworks_of_its_own(spark, tmp_path):
     names = {r["id"]: r["name"] for r in g.nodes.select("id", "name").collect()}
     edges = {(names[r["source"]], names[r["target"]], r["kind"]) for r in g.edges.where("source like 'route:%'").collect()}
     assert {("GET /users", "listUsers", "references"), ("ON /v1/home", "run", "references")} <= edges
+
+
+def test_scripts_are_parsed_once(spark, capsys):
+    files = spark.createDataFrame([("routes/a.js", "app.get('/a', list);\napp.post('/b', (q, r) => { save(q); });", "javascript")], "path string, text string, language string")
+    frameworks._script_routes(files, None).explain()
+    assert capsys.readouterr().out.count("MapInPandas") == 1
