@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.schema import Graph, node_id
-from graphmill.store import valid_edges
+from graphmill.store import dealt, valid_edges
 
 # Languages by file ending.
 LANGUAGES = {
@@ -243,7 +243,8 @@ def extract(files: DataFrame) -> DataFrame:
     """what (node, ref, type, import, export or error), kind, name, qualified_name, start_line, end_line, owner, docstring, is_exported, file_path, language.
 
     files: path, text, language. Python is parsed; other languages are read by lines, which finds declarations and calls
-    but not types. A file that cannot be parsed gives one error row. One pass, no shuffle.
+    but not types. A file that cannot be parsed gives one error row. One pass; files are dealt to tasks by their paths first, since texts that pack
+    well would otherwise be parsed, and their rows sorted later, by few tasks.
     """
     schema = "what string, kind string, name string, qualified_name string, start_line int, end_line int, owner string, docstring string, is_exported boolean, file_path string, language string"
     columns = [c.split(" ")[0] for c in schema.split(", ")]
@@ -265,7 +266,7 @@ def extract(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"start_line": "Int32", "end_line": "Int32", "is_exported": "boolean"})
 
-    return files.select("path", "text", "language").mapInPandas(run, schema)
+    return dealt(files.select("path", "text", "language"), "path").mapInPandas(run, schema)
 
 
 def imports_of(extracted: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphmill import store
 from graphmill.operators import resolve, traverse
+from graphmill.sources import code
 
 
 def test_pairs_of_one_name_are_dealt_to_many_tasks(spark):
@@ -61,3 +62,13 @@ def test_edges_of_one_name_are_moved_by_id(spark):
     # The join by id is the outer one: it stands before any by name in the plan.
     joins = [x for x in moved._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
     assert "target" in joins[0] and "_name" not in joins[0] and "_name" in joins[1]
+
+
+def test_files_that_pack_well_are_parsed_by_many_tasks(spark):
+    """600 files that come from a shuffle and are few bytes, as files of one shape are."""
+    text = F.concat(F.lit("class C"), F.col("id").cast("string"), F.lit(":\n    def run(self):\n        return 0\n"))
+    files = spark.range(600).groupBy("id").count().select(F.concat(F.lit("m/c"), F.col("id").cast("string"), F.lit(".py")).alias("path"), text.alias("text"), F.lit("python").alias("language"))
+    got = code.extract(files).where("what = 'node'").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 1800 and len({r["name"] for r in got if r["kind"] == "class"}) == 600
+    tasks = [r["task"] for r in got]
+    assert len(set(tasks)) > 50 and max(map(tasks.count, set(tasks))) < len(tasks) / 10
