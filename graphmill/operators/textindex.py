@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.text import search_terms
 from graphmill.operators.search import COLUMN_WEIGHTS, K1, B, tokens
+from graphmill.store import settled
 
 #: Letters of a term that name the folder of its postings.
 SHELF = 2
@@ -24,27 +25,36 @@ class TextIndex(NamedTuple):
     terms: DataFrame
 
 
-def postings_of(nodes: DataFrame) -> DataFrame:
-    """field, term, id, tf, len of every word of every searched column that nodes has. One pass over nodes for all columns."""
+def texts_of(nodes: DataFrame) -> DataFrame:
+    """id, field, words: a row for every node and searched column that nodes has. One pass over nodes for all columns."""
     have = [c for c in COLUMN_WEIGHTS if c in nodes.columns]
-    words = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("words")) for c in have)))
-    listed = nodes.select("id", words.alias("w")).select("id", "w.field", F.size("w.words").alias("len"), F.explode("w.words").alias("term"))
-    return listed.groupBy("field", "term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
+    words = (F.struct(F.lit(c).alias("field"), tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("words")) for c in have)
+    return nodes.select("id", F.inline(F.array(*words)))
+
+
+def postings_of(texts: DataFrame) -> DataFrame:
+    """field, term, id, tf, len of every word of the texts, which are read twice. Of a text whose words differ, as those of names do, each is there once; only words of the others
+    are shuffled to be counted."""
+    differ = F.size(F.array_distinct("words")) == F.size("words")
+    listed = lambda df: df.select("field", F.explode("words").alias("term"), "id", F.size("words").alias("len"))
+    once = listed(texts.where(differ)).withColumn("tf", F.lit(1))
+    return once.unionByName(listed(texts.where(~differ)).groupBy("field", "term", "id", "len").agg(F.count("*").cast("int").alias("tf")))
 
 
 def write(nodes: DataFrame, folder: str) -> None:
     """Postings in folders by the first letters of their terms, within them sorted by term, so files and row groups hold ranges of terms. Terms are
-    dealt out by ranges of (term, field, id), so one that a third of all nodes has fills several files."""
+    dealt out by ranges of (term, field, id), so one that a third of all nodes has fills several files. nodes are read once."""
     shelf = F.left("term", F.lit(SHELF)).alias("shelf")
     by = ["shelf", "term", "field", "id"]
-    stored = postings_of(nodes).select(shelf, "term", "field", "id", "tf", "len").repartitionByRange(*by).sortWithinPartitions(*by)
+    texts = settled(texts_of(nodes), "texts")
+    stored = postings_of(texts).select(shelf, "term", "field", "id", "tf", "len").repartitionByRange(*by).sortWithinPartitions(*by)
     stored.write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/postings")
     terms = nodes.sparkSession.read.schema(_POSTINGS).parquet(f"{folder}/postings").groupBy("shelf", "term", "field").agg(F.count("*").alias("df"))
     terms.repartitionByRange("shelf", "term").sortWithinPartitions("shelf", "term", "field").write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/terms")
     have = [c for c in COLUMN_WEIGHTS if c in nodes.columns]
-    size = lambda c: F.coalesce(F.sum(F.size(tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))))), F.lit(0))
-    sums = nodes.agg(F.count("*").alias("n"), *(size(c).alias(f"w_{c}") for c in have))
-    rows = F.array(*(F.struct(F.lit(c).alias("field"), "n", F.col(f"w_{c}").cast("long").alias("words")) for c in have))
+    of = lambda c: F.col("field") == c
+    sums = texts.agg(*(x for c in have for x in (F.count_if(of(c)).alias(f"n_{c}"), F.coalesce(F.sum(F.when(of(c), F.size("words"))), F.lit(0)).alias(f"w_{c}"))))
+    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"n_{c}").alias("n"), F.col(f"w_{c}").cast("long").alias("words")) for c in have))
     sums.select(F.inline(rows)).write.mode("overwrite").parquet(f"{folder}/fields")
 
 

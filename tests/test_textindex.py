@@ -55,3 +55,20 @@ def test_an_index_of_nothing(spark, tmp_path):
     nodes = spark.createDataFrame([], COLUMNS)
     textindex.write(nodes, f"file://{tmp_path}/none")
     assert textindex.full_text(textindex.read(spark, f"file://{tmp_path}/none"), "user").count() == 0
+
+
+def test_writing_an_index_reads_nodes_once_and_counts_repeated_words(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    nodes = spark.createDataFrame([(f"n{i}", f"alpha b{i} alpha" if i % 7 == 0 else f"alpha c{i}", "" if i % 2 else None) for i in range(300)], "id string, name string, docstring string")
+    textindex.write(nodes.repartition(3).mapInArrow(counted, nodes.schema), f"file://{tmp_path}/once")
+    assert seen.value == 300
+    index = textindex.read(spark, f"file://{tmp_path}/once")
+    got = {(r["term"], r["id"], r["tf"], r["len"]) for r in index.postings.collect()}
+    assert got == {x for i in range(300) for x in ([("alpha", f"n{i}", 2, 3), (f"b{i}", f"n{i}", 1, 3)] if i % 7 == 0 else [("alpha", f"n{i}", 1, 2), (f"c{i}", f"n{i}", 1, 2)])}
+    assert index.postings.count() == 600 and {tuple(r) for r in index.fields.collect()} == {("name", 300, 643), ("docstring", 300, 0)}
