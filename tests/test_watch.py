@@ -3,8 +3,10 @@
 import random
 import uuid
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graphmill.store import shared
@@ -81,6 +83,31 @@ def test_stream(spark, seed, tmp_path):
     assert len(want) > 20 and (not seed or "degraded" in {r[1] for r in want})
 
 
+def test_a_path_is_one_value_of_the_store():
+    """Every call to the store is a round trip, and every frame costs more than a row."""
+    calls, held = [], {}
+
+    class Store:
+        def get(self):
+            calls.append("get")
+            return held.get("p")
+
+        def update(self, value):
+            calls.append("update")
+            held["p"] = value
+
+    handle = SimpleNamespace(getValueState=lambda *_: Store(), registerTimer=lambda ms: calls.append(f"timer {ms}"), deleteTimer=lambda ms: calls.append(f"no timer {ms}"))
+    mark = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    w = watch.Watcher(2000, 30_000, 5)
+    w.init(handle)
+    events = [Row(at_us=1000 * ms, what=what) for ms, what in ((70, "changed"), (50, "changed"), (9000, "changed"))]
+    assert not list(w.handleInputRows(("p",), iter(events), mark(0))) and calls == ["get", "timer 50", "update"]
+    calls.clear()
+    got = list(w.handleExpiredTimer(("p",), mark(3000), SimpleNamespace(getExpiryTimeInMs=lambda: 50)))
+    assert got == [Row(path="p", action="sync", at=2_070_000, failures=0, first_seen=50_000, last_seen=70_000, changes=2)]
+    assert calls == ["get", "timer 9000", "update"] and held["p"][-2:] == ([9_000_000], ["changed"])
+
+
 def test_backoff():
     assert [sync.backoff(n) for n in range(8)] == [2000, 2000, 4000, 8000, 16000, 30000, None, None]
 
