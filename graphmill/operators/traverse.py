@@ -161,14 +161,19 @@ def affected_files(files: DataFrame, changed: DataFrame, is_test: F.Column, dept
     return reach(moves, changed, depth, stop=tests).where(is_test)
 
 
+def _big(df: DataFrame) -> DataFrame:
+    """df, merged by joins that would else send it through the driver to all tasks: little each time, but at every round."""
+    return df.hint("merge")
+
+
 def _labels(moves: DataFrame, start: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """id, label: the smallest label that reaches each node along moves; start: id, label. within: id, colour; then a label only enters nodes of its own colour.
 
     Only nodes whose label has changed pass it on, over two moves a round. Each round writes the labels of the nodes that are still open, once.
     """
     def passed_on(df: DataFrame) -> DataFrame:
-        to = moves.join(df.select(F.col("id").alias("at"), "label"), "at").groupBy(F.col("to").alias("id")).agg(F.min("label").alias("label"))
-        return to if within is None else to.join(within, "id").where("colour = label").select("id", "label")
+        to = moves.join(_big(df.select(F.col("id").alias("at"), "label")), "at").groupBy(F.col("to").alias("id")).agg(F.min("label").alias("label"))
+        return to if within is None else to.join(_big(within), "id").where("colour = label").select("id", "label")
 
     labels = settled(start.select("id", "label"), "labels")
     new = labels
@@ -196,12 +201,12 @@ def components(moves: DataFrame) -> DataFrame:
         size = m.count()
         while size:
             # A move stays while something leads to where it begins, and something leads on from where it ends.
-            kept = settled(m.join(m.select(F.col("to").alias("at")).distinct(), "at", "left_semi").join(m.select(F.col("at").alias("to")).distinct(), "to", "left_semi").select("at", "to"), "moves")
+            kept = settled(m.join(_big(m.select(F.col("to").alias("at")).distinct()), "at", "left_semi").join(_big(m.select(F.col("at").alias("to")).distinct()), "to", "left_semi").select("at", "to"), "moves")
             before, m, size = size, kept, kept.count()
             if size == before:
                 break
         open_ = settled(m.select(F.col("at").alias("id")).union(m.select("to")).distinct(), "open")
-        done.append(left.join(open_, "id", "left_anti").select("id", F.col("id").alias("component")))
+        done.append(left.join(_big(open_), "id", "left_anti").select("id", F.col("id").alias("component")))
         left = open_
         if left.isEmpty():
             break
@@ -209,11 +214,11 @@ def components(moves: DataFrame) -> DataFrame:
         back = m.select(F.col("to").alias("at"), F.col("at").alias("to"))
         found = settled(_labels(back, colours.where("id = colour").select("id", F.col("colour").alias("label")), colours).select("id", F.col("label").alias("component")), "components")
         done.append(found)
-        left = settled(left.join(found, "id", "left_anti"), "open")
-        inside = lambda side: left.select(F.col("id").alias(side))  # noqa: B023, E731
+        left = settled(left.join(_big(found), "id", "left_anti"), "open")
+        inside = lambda side: _big(left.select(F.col("id").alias(side)))  # noqa: B023, E731
         m = settled(m.join(inside("at"), "at", "left_semi").join(inside("to"), "to", "left_semi").select("at", "to"), "moves")
     out = reduce(DataFrame.union, done, left.select("id", F.col("id").alias("component")).limit(0))
-    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
+    return out.join(_big(out.groupBy("component").agg(F.count("*").alias("size"))), "component").select("id", "component", "size")
 
 
 def cyclic(moves: DataFrame) -> DataFrame:

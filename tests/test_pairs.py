@@ -72,3 +72,13 @@ def test_files_that_pack_well_are_parsed_by_many_tasks(spark):
     assert len(got) == 1800 and len({r["name"] for r in got if r["kind"] == "class"}) == 600
     tasks = [r["task"] for r in got]
     assert len(set(tasks)) > 50 and max(map(tasks.count, set(tasks))) < len(tasks) / 10
+
+
+def test_rounds_of_components_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, settled = [], store.settled
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(traverse, "settled", lambda df, name="step": plans.append(shown(df)) or settled(df, name))
+    got = traverse.components(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], "at long, to long"))
+    plans.append(shown(got))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 2), (5, 4, 2), (6, 6, 1)]
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
