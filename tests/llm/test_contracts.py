@@ -298,6 +298,31 @@ def test_neighbours_of_more_rows_than_four_rounds_reach(spark):
     assert len(found) == len(best) and len(best & set(found)) >= 0.9 * len(best)
 
 
+def test_neighbours_are_walked_once_in_few_tasks(spark, monkeypatch):
+    """Asked rows used to be walked after the sample, each step in as many tasks as shuffles have partitions, however few beams there were."""
+    walks, files, walked, stage = [], [], ann._walked, ann.stage
+
+    def written(df, name, *more):
+        out = stage(df, name, *more)
+        if name == "beam":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ann, "_walked", lambda *a: walks.append(1) or walked(*a))
+    monkeypatch.setattr(ann, "stage", written)
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = rows(ann.neighbours_of_rows(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "query_id", "rank", "vec_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == [(q, r + 1, int(i)) for q in range(0, 300, 50) for r, i in enumerate(np.argsort(-(unit @ unit[q]))[1:6])]
+    assert len(walks) == 1 and max(files[1:]) <= 4
+
+
 BLOCK = re.compile(r"</?(?:p|h[1-6]|article|li|ul|div|nav|footer|section|header|aside|body|blockquote|pre)\b[^>]*>", re.I)
 
 
