@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.operators.intervals import top_per_group
-from graphmill.store import settled
+from graphmill.store import dealt, settled
 
-#: Targets of one calling function.
-FAN_OUT = 300
+#: Targets and calling functions of one set that meet in a task at a time.
+PIECE = 10_000
 
 
 def _first(held: DataFrame, keep: int | None) -> DataFrame:
@@ -36,12 +36,13 @@ def _fixpoint(held: DataFrame, copies: DataFrame, keep: int | None) -> DataFrame
 
 
 def shared_sets(bound: DataFrame, copies: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slot, of; of, target): what every slot may hold, where slots that hold the same may name one set; of each, the first `keep` by target.
+    """(slot, of; of, target): what every slot may hold. A slot may name several sets, which share no target, and several slots may name one. With `keep`
+    a slot names one set: of what it may hold, the first `keep` by target.
 
     A slot that copies from one other holds its own targets and those of the other. So it is taken out: those it is copied to get its targets and copy
     from the other. A round takes out no two slots that copy from each other and about a third of any long row or ring of copies, so rounds grow with the
-    logarithm of its length; what is left (slots that copy from several) goes to the fixpoint. Then slots come back in reverse order, with the set
-    of the slot they copy from where it holds all their own, else with a set of their own.
+    logarithm of its length; what is left (slots that copy from several) goes to the fixpoint. Then slots come back in reverse order, with the sets
+    of the slot they copy from and one of what they hold beyond those; with `keep`, with one of their own in their place.
     """
     edges = settled(copies.select("to_slot", "from_slot").where("to_slot != from_slot").distinct(), "copies")
     now = settled(_first(bound.select("slot", "target").distinct(), keep), "facts")
@@ -69,11 +70,16 @@ def shared_sets(bound: DataFrame, copies: DataFrame, keep: int | None = None) ->
     for gone, had in reversed(out):
         own = had.join(gone, "slot").select("slot", "before", "target")
         asked = gone.join(names.withColumnRenamed("slot", "before"), "before", "left").select("slot", "of")
+        if keep is None:
+            known = own.join(asked, "slot").join(sets, ["of", "target"], "left_semi").select("slot", "target")
+            more = settled(own.select("slot", "target").join(known, ["slot", "target"], "left_anti"), "facts")
+            names = names.union(settled(asked.where("of is not null").union(more.select("slot", F.col("slot").alias("of")).distinct()), "names"))
+            sets = sets.union(more.select(F.col("slot").alias("of"), "target"))
+            continue
         new = own.select("slot", "target").join(asked, "slot").join(sets, ["of", "target"], "left_anti")
-        if keep is not None:
-            # A target behind the last of a full set is not among the first.
-            full = sets.groupBy("of").agg(F.count("*").alias("n"), F.max("target").alias("last")).where(F.col("n") >= keep).drop("n")
-            new = new.join(full, "of", "left").where("last is null or target < last")
+        # A target behind the last of a full set is not among the first.
+        full = sets.groupBy("of").agg(F.count("*").alias("n"), F.max("target").alias("last")).where(F.col("n") >= keep).drop("n")
+        new = new.join(full, "of", "left").where("last is null or target < last")
         apart = new.select("slot", F.lit(True).alias("apart")).distinct()
         named = settled(asked.join(apart, "slot", "left").select("slot", F.col("of").alias("from"), F.when(F.col("apart"), F.col("slot")).otherwise(F.col("of")).alias("of")).where("of is not null"), "names")
         alone = named.where("slot = of")
@@ -183,21 +189,40 @@ def arrays(facts: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame
     return held.select("slot", "target").distinct(), c.select("file_path", "scope", "line", "slot")
 
 
-def pointer_calls(facts: DataFrame, functions: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """source, target, line, via: calls of functions that slots may hold; a pair of functions once, at its first line; of more than fan_out targets of
-    one function, the first by line, slot and target. facts: of sources.pointers (settle them first: they are read several times); functions: id, name, file_path."""
+def _met(sites: DataFrame, sets: DataFrame, piece: int = PIECE) -> DataFrame:
+    """sites (source, of, ..) with `target`, one row for each target of the set `of` that is not the source.
+
+    A set of many targets that many call has a row for every two, so its rows are dealt to tasks as a grid: sites and targets fall into pieces of about
+    `piece`, and each piece of sites goes to every piece of targets, which is one row. A task holds one piece of targets at a time.
+    """
+    count = lambda df, n: df.groupBy("of").agg(F.ceil(F.count("*") / piece).cast("int").alias(n))
+    grid = count(sites, "_px").join(count(sets, "_py"), "of")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    asked = sites.join(grid, "of").withColumn("_x", own("source", "_px")).withColumn("_y", every("_py")).drop("_px", "_py")
+    listed = sets.join(grid, "of").withColumn("_y", own("target", "_py")).groupBy("of", "_y", "_px").agg(F.collect_list("target").alias("_targets"))
+    listed = listed.withColumn("_x", every("_px")).drop("_px")
+    spread = lambda df: dealt(df, "of", "_x", "_y")
+    met = spread(asked).join(spread(listed).hint("shuffle_hash"), ["of", "_x", "_y"])
+    return met.select(*sites.columns, F.explode("_targets").alias("target")).where("target != source")
+
+
+def pointer_calls(facts: DataFrame, functions: DataFrame, fan_out: int | None = None) -> DataFrame:
+    """source, target, line, via: calls of functions that slots may hold; a pair of functions once, at its first line. All of them, or of more than fan_out
+    targets of one function the first by line, slot and target. facts: of sources.pointers (settle them first: they are read several times); functions: id, name, file_path."""
     fields = settled(slots(facts), "fields")
     in_arrays, array_calls = arrays(facts, functions)
     # Of the targets of one site, at most fan_out are those of earlier sites and one is the caller; fan_out more are enough.
-    names, sets = shared_sets(bindings(facts, fields, functions).union(in_arrays), copies(facts, fields), 2 * fan_out + 1)
-    listed = sets.groupBy("of").agg(F.array_sort(F.collect_list("target")).alias("targets"))
+    keep = None if fan_out is None else 2 * fan_out + 1
+    names, sets = shared_sets(bindings(facts, fields, functions).union(in_arrays), copies(facts, fields), keep)
     sites = calls(facts, fields).union(array_calls).distinct()
     sources = functions.select(F.col("id").alias("source"), F.col("name").alias("scope"), "file_path")
-    asked = sites.join(sources, ["scope", "file_path"]).join(names, "slot").groupBy("source", "slot", "of").agg(F.min("line").alias("line"))
-    asked = asked.withColumn("via", F.regexp_replace("slot", "^.*#", "")).withColumn("sites", F.count("*").over(Window.partitionBy("source")))
-    met = settled(asked.select("source", "line", "via", "of", "sites"), "sites").join(listed, "of").withColumn("targets", F.filter("targets", lambda x: x != F.col("source")))
-    pairs = lambda df, targets: df.select("source", F.explode(targets).alias("target"), "line", "via")
+    asked = sites.join(sources, ["scope", "file_path"]).groupBy("source", "slot").agg(F.min("line").alias("line")).withColumn("via", F.regexp_replace("slot", "^.*#", ""))
+    asked = asked.withColumn("sites", F.count("*").over(Window.partitionBy("source"))).join(names, "slot")
+    first = F.min(F.struct("line", "via")).alias("first")
+    asked = settled(asked.groupBy("source", "of", "sites").agg(first).select("source", "of", "sites", "first.*"), "sites")
     # A function of one site needs no comparison of its targets with those of others.
-    once = pairs(met.where("sites > 1"), F.col("targets")).groupBy("source", "target").agg(F.min(F.struct("line", "via")).alias("first")).select("source", "target", "first.line", "first.via")
-    several = top_per_group(once, ["source"], ["line", "via", "target"], fan_out).select("source", "target", "line", "via")
-    return pairs(met.where("sites = 1"), F.slice("targets", 1, fan_out)).union(several)
+    once = _met(asked.where("sites = 1").drop("sites"), sets).select("source", "target", "line", "via")
+    several = _met(asked.where("sites > 1").drop("sites"), sets).groupBy("source", "target").agg(first).select("source", "target", "first.*")
+    pairs = once.union(several)
+    return pairs if fan_out is None else top_per_group(pairs, ["source"], ["line", "via", "target"], fan_out).select("source", "target", "line", "via")

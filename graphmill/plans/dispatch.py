@@ -75,7 +75,7 @@ sites as (
   union all select 'src/s' || s || '.c#chain_' || s, 'Sup' || b || '.stop' from before_),
 pairs as (select source, target, slot as via from sites join held using (slot)
   union all select 'src/s' || s || '.c#pick_' || s, 'src/s' || s || '.c#call_' || s, 'list[]' from before_)
-select source, target, via from (select *, row_number() over (partition by source order by via, target) as nth from pairs) where nth <= 300""")
+select source, target, via from pairs""")
 def function_pointer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = store.settled(sources.facts(star.pointer_files(spark, sf_dir)), "facts")
     functions = facts.where("what = 'function'").select(F.concat("file_path", F.lit("#"), "value").alias("id"), F.col("value").alias("name"), "file_path")

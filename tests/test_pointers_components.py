@@ -83,6 +83,28 @@ def test_fan_out_is_cut_after_the_closure(spark):
     assert [r["target"] for r in pointers.pointer_calls(facts, functions, 3).orderBy("target").collect()] == ["f0", "f1", "f10"]
 
 
+def test_all_targets_of_large_sets(spark, monkeypatch):
+    """700 functions of a table, called by ten functions, one of them through a second field that holds half of the same; no target is left out."""
+    monkeypatch.setattr(pointers, "PIECE", 50)
+    many = "".join(f"int f{i}(int x) {{ return x; }}\n" for i in range(700))
+    table = "struct s { int (*go)(int); int (*no)(int); };\nstruct s t[] = {" + ", ".join(f"{{f{i}, f{i // 2}}}" for i in range(700)) + "};\n"
+    calls = "".join(f"int call{i}(struct s *p) {{ return p->go(1); }}\n" for i in range(9)) + "int both(struct s *p) { p->no(1); return p->go(1) + p->no(2); }\n"
+    got = linked(spark, m_c=many + table + calls)
+    want = {(f"m.c:call{i}", f"m.c:f{j}", "s.go") for i in range(9) for j in range(700)}
+    # Both calls stand on one line, so the lesser slot comes first.
+    assert got == want | {("m.c:both", f"m.c:f{j}", "s.go") for j in range(700)}
+
+
+def test_slots_share_sets_and_add_their_own(spark):
+    """A row of 40 copies of 500 targets, of which each slot adds one: its set is not written again for every slot."""
+    bound = [("s0", f"f{i}") for i in range(500)] + [(f"s{i}", f"own{i}") for i in range(40)] + [("s9", "f7")]
+    copies = [(f"s{i + 1}", f"s{i}") for i in range(39)]
+    names, sets = pointers.shared_sets(spark.createDataFrame(bound, "slot string, target string"), spark.createDataFrame(copies, "to_slot string, from_slot string"))
+    got = sorted((r["slot"], r["target"]) for r in names.join(sets, "of").collect())
+    assert got == sorted((f"s{i}", t) for i in range(40) for t in [f"f{j}" for j in range(500)] + [f"own{j}" for j in range(i + 1)])
+    assert sets.count() < 2000
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_points_to_is_the_least_fixpoint(spark, seed):
     rng = random.Random(seed)
