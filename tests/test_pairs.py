@@ -17,6 +17,18 @@ def test_pairs_of_one_name_are_dealt_to_many_tasks(spark):
     assert len(set(tasks)) > 50 and max(map(tasks.count, set(tasks))) < len(tasks) / 10
 
 
+def test_pairs_of_one_name_shuffle_few_rows(spark, monkeypatch):
+    """4,000 nodes a side have 12,800,000 pairs: the side that streams is sent once, the other as lists. Null ids are ids, null files are nowhere."""
+    sent = []
+    monkeypatch.setattr(resolve, "dealt", lambda df, *key: sent.append(df) or store.dealt(df, *key))
+    rows = [(f"n{i}", "hot", f"f{i // 2 % 5}", i % 2 == 0) for i in range(8000)] + [(None, "two", "f1", True), (None, "two", "f1", True), ("x", "two", "f2", False), ("y", "two", None, False), (None, "two", "f3", False), ("z", None, "f", True), ("w", None, "g", False)]
+    nodes = spark.createDataFrame(rows, "id string, qualified_name string, file_path string, mark boolean")
+    got = resolve.same_name_elsewhere(nodes, F.col("mark"))
+    assert sum(df.count() for df in sent) < 4100
+    assert got.count() == 4000 * 3200 + 4 and got.distinct().count() == 4000 * 3200 + 2
+    assert sorted((r["source"], r["n"]) for r in got.where("target is null").groupBy("source").agg(F.count("*").alias("n")).collect() if r["source"]) == [("x", 2)]
+
+
 def test_sets_are_covered_through_their_rarest_items(spark, monkeypatch):
     """4,000 sets hold an item that 4,000 owners have, 16,000,000 pairs; their other items are rare. Only what rare items leave is written."""
     written = []
