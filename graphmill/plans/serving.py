@@ -47,8 +47,7 @@ def callers_by_definition(s, d):
 
 @query(STAR + f"select definition, 'callee' as role, id, rank from ({_near('source', 'target', 12)}) union all select definition, 'caller', id, rank from ({_near('target', 'source', 12)})")
 def trails(s, d):
-    g = star.star_graph(s, d)
-    return tools.trail(g, g.nodes)
+    return tools.trail(star.star_graph(s, d))
 
 
 @query(STAR + "select e.source as container, n.id, n.kind, n.name, n.start_line, cast(row_number() over (partition by e.source order by n.start_line, n.id) as int) as rank from (select distinct source, target from edges where kind = 'contains') e join nodes n on n.id = e.target")
