@@ -338,6 +338,36 @@ def test_neighbours_are_walked_once_in_few_tasks(spark, monkeypatch):
     assert len(walks) == 1 and max(files[1:]) <= 4
 
 
+def test_first_blocks_do_not_follow_partitions(spark, monkeypatch):
+    """6,000 vectors, of which a third share their signs, in 4 and in 97 partitions: first blocks are the same, none is large, and few rounds of descent follow."""
+    x = np.random.default_rng(8).normal(size=(6000, 16))
+    x[:2000] = 5 + x[:2000] / 50
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    points = ann._points(ann.valid(vectors), 1)[0]
+    rounds, lists, descent = [], [], ann._descent
+    for n in (4, 97):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            lists.append(sorted((r["id"], tuple((x["id"], round(x["s"], 3)) for x in r["nbrs"])) for r in ann._blocked(points, 3, 2, 17).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert lists[0] == lists[1] and len(lists[0]) == 12_000 and all(len(nbrs) == 3 for _, nbrs in lists[0])
+    monkeypatch.setattr(ann, "_descent", lambda *a: rounds.append(1) or descent(*a))
+    ann.build(vectors)
+    assert len(rounds) <= 5
+
+
+def test_nearest_within_a_block():
+    x = np.random.default_rng(9).normal(size=(700, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(700, dtype=np.int64) * 3
+    got = ann._nearest_within(ids, x, 5).to_pylist()
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    assert [[n["id"] for n in r] for r in got] == [(np.argsort(-r)[:5] * 3).tolist() for r in s]
+    assert ann._nearest_within(ids[:1], x[:1], 5).to_pylist() == [[]] and [len(r) for r in ann._nearest_within(ids[:3], x[:3], 5).to_pylist()] == [2, 2, 2]
+
+
 BLOCK = re.compile(r"</?(?:p|h[1-6]|article|li|ul|div|nav|footer|section|header|aside|body|blockquote|pre)\b[^>]*>", re.I)
 
 
